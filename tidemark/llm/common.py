@@ -9,6 +9,7 @@ import uuid
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BATCH_BYTES = 8 << 20
 
@@ -48,6 +49,22 @@ def text_of(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """A column name that isn't taken."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def map_arrow(df: DataFrame, run, *added: T.StructField) -> DataFrame:
+    """mapInArrow over all columns of df, whatever their names; run returns them in their order, and those added."""
+    places = [f"c{i}" for i in range(len(df.columns))]
+    fields = [T.StructField(c, f.dataType) for c, f in zip(places, df.schema.fields)]
+    more = [T.StructField(f"d{i}", f.dataType) for i, f in enumerate(added)]
+    return df.toDF(*places).mapInArrow(run, T.StructType(fields + more)).toDF(*df.columns, *(f.name for f in added))
+
+
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of an Arrow string or binary column without nulls and the n + 1 offsets into them."""
     n = len(column)

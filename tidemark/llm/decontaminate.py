@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, pieces, text_of, utf8
+from .common import bound_batches, fresh, pieces, text_of, utf8
 from .wordhash import mix, words
 
 SIMILARITY = 0.8
@@ -222,5 +222,6 @@ def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
 
 def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of docs that contain no item, with all their columns; a doc_id of which one row does is dropped."""
-    found = matches(docs, items, doc_id, text).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, F.col(doc_id).cast("long").eqNullSafe(F.col("_found")), "left_anti")
+    name = fresh(docs.columns, "_found")
+    found = matches(docs, items, doc_id, text).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(found, F.col(doc_id).cast("long").eqNullSafe(F.col(name)), "left_anti")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import spans as S
-from .common import cut, text_of
+from .common import cut, fresh, text_of
 
 KINDS = ["email", "ip", "card", "phone"]
 # The strict forms. Possessive quantifiers and look-behinds change no match; they keep long runs linear.
@@ -115,11 +115,11 @@ def report(found: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chars: str = "n_chars") -> DataFrame:
     """docs with every span replaced by its kind in brackets, and the number of characters set anew. All rows stay."""
-    found = find(docs, doc_id, text).filter(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), S.by_start(F.col("spans")).alias("_spans")).dropDuplicates(["_id", "_digest"])
+    key, digest, spans = (fresh(docs.columns, name) for name in ("_id", "_digest", "_spans"))
+    found = find(docs, doc_id, text).filter(F.size("spans") > 0).select(F.col("doc_id").alias(key), F.col("digest").alias(digest), S.by_start(F.col("spans")).alias(spans)).dropDuplicates([key, digest])
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    both = docs.join(found, docs[doc_id].eqNullSafe(F.col("_id")) & (F.sha1(text_of(text)) == F.col("_digest")), "left")
-    new = F.when(F.col("_spans").isNull(), F.col(text)).otherwise(S.replaced(F.col(text), F.col("_spans"), lambda k: F.element_at(names, k + 1)))
+    both = docs.join(found, F.col(doc_id).eqNullSafe(F.col(key)) & (F.sha1(text_of(text)) == F.col(digest)), "left")
+    new = F.when(F.col(spans).isNull(), F.col(text)).otherwise(S.replaced(F.col(text), F.col(spans), lambda k: F.element_at(names, k + 1)))
+    size = F.when(F.col(spans).isNull(), F.col(chars)).otherwise(F.length(text).cast(docs.schema[chars].dataType)) if chars in docs.columns else None
     out = both.withColumn(text, new)
-    if chars in docs.columns:
-        out = out.withColumn(chars, F.when(F.col("_spans").isNull(), F.col(chars)).otherwise(F.length(text).cast(docs.schema[chars].dataType)))
-    return out.select(*docs.columns)
+    return (out.withColumn(chars, size) if size is not None else out).select(*docs.columns)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, pieces, runs, text_of, utf8
+from .common import bound_batches, map_arrow, pieces, runs, text_of, utf8
 from .wordhash import WORD, mix, slice_hashes
 
 THRESHOLD = 0.3
@@ -24,7 +24,7 @@ DIM, NONZERO, WINDOW = 48, 6, 2
 HIDDEN, EPOCHS, RATE, DECAY = 32, 60, 3e-3, 1e-4
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 11, 12, 13, 32]] = True
-_FIGURES = 8
+_FIGURES = 9
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,12 +87,13 @@ class Vectors:
         both = np.unique(mix(h) ^ mix(row.astype(np.uint64) + np.uint64(1)), return_index=True)[1]
         distinct = np.bincount(row[both], minlength=n)
         total = np.maximum(size, 1)
+        twice = np.bincount(row[1:][(h[1:] == h[:-1]) & (row[1:] == row[:-1])], minlength=n)
         shares = [np.bincount(row[kind == k], minlength=n) / total for k in range(3)]
         capital = (data >= 65) & (data <= 90)
         ahead = np.concatenate(([0], np.cumsum(capital)))
         letters = np.concatenate(([0], np.cumsum(WORD[data])))
         upper = (ahead[offsets[1:]] - ahead[offsets[:-1]]) / np.maximum(letters[offsets[1:]] - letters[offsets[:-1]], 1)
-        figures = [np.log1p(size) / 4, distinct / total, hits / total, *shares, upper, np.linalg.norm(out[:, :DIM], axis=1)]
+        figures = [np.log1p(size) / 4, distinct / total, hits / total, twice / total, *shares, upper, np.linalg.norm(out[:, :DIM], axis=1)]
         out[:, DIM:] = np.stack(figures, axis=1)
         out[size == 0] = 0
         return out
@@ -154,7 +155,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     chosen = chosen.groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_top")).filter("_y = _top").drop("_top")
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(rows)
     # the limit bounds what is broadcast
-    table = docs.join(F.broadcast(chosen), docs[doc_id] == F.col("_id")).select("_id", "_y", text_of(text).alias("_t")).toArrow().sort_by("_id")
+    texts = docs.select(F.col(doc_id).alias("_doc"), text_of(text).alias("_t"))
+    table = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_id", "_y", "_t").toArrow().sort_by("_id")
     column = table.column("_t").combine_chunks()
     column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
     y = np.array(table.column("_y").to_pylist(), float)
@@ -193,7 +195,6 @@ def accepted(docs: DataFrame, model: tuple[Vectors, Network], text: str = "text"
     bound_batches(spark)
     held = spark.sparkContext.broadcast(model)
     place = docs.columns.index(text)
-    schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, network = held.value
@@ -204,4 +205,4 @@ def accepted(docs: DataFrame, model: tuple[Vectors, Network], text: str = "text"
                 batch = batch.filter(pa.array(network.score(vectors.all_features(data, offsets)) >= threshold))
             yield batch
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run)

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, secret_scan, simhash
+from pyspark.sql import functions as F
+
+from . import decontaminate, pii, quality, secret_scan, sentencepieces, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,16 +19,34 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.find(_table(spark, sf_dir, "documents")))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes each text, decodes the ids again, and compares."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = sentencepieces.decode(sentencepieces.encode(docs))
+    written = F.concat_ws(",", F.transform("ids", lambda i: i.cast("string")))
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(written, 256).alias("ids_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(secret_scan.find(_table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii, op6_simhash, op8_secrets)}
+    return {f.__name__: f for f in (op2_pii, op3_decontamination, op5_quality, op6_simhash, op7_sentencepiece, op8_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:

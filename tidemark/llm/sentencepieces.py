@@ -19,13 +19,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import bound_batches, pieces, text_of, utf8
+from .common import bound_batches, map_arrow, pieces, utf8
 
 MODEL = os.environ.get("TIDEMARK_SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
-CACHE = 1 << 17  # words that a worker remembers
+CACHE = 1 << 18  # words of one of two generations that a worker remembers
 PAIRS = 1 << 20  # tested pairs that it remembers
 
 
@@ -39,7 +39,9 @@ class Codec:
         self.scores = {t: scores[i] for t, i in self.ids.items()}
         self.longest = max(map(len, self.ids), default=1)
         self.worst = min(self.scores.values(), default=0.0) - 10
+        self.tails = {t[i:] for t in self.ids for i in range(len(t))}
         self.words: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         inside = {c for t in self.ids if len(t) > 1 for c in t}
         alone = "".join(c for c in "\n\t\r" if c not in inside)
@@ -79,28 +81,42 @@ class Codec:
 
     def apart(self, a: str, b: str) -> bool:
         """Whether pieces a and b stay as they are side by side."""
-        known = self.pairs.get((a, b))
-        if known is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self.merged(a + b) == [a, b]
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        known = self.pairs[a, b] = self.merged(a + b) == [a, b]
         return known
 
     def encode_words(self, words: list[str]) -> list[list[str]]:
         """Pieces of each of the sorted, distinct words."""
         out, before, last, score = [], "", [""], [0.0]
-        ids, longest, bpe = self.ids, self.longest, self.bpe
+        ids, longest, bpe, tails, pairs = self.ids, self.longest, self.bpe, self.tails, self.pairs
         for w in words:
             if bpe and w.startswith(MARK + MARK):  # runs of spaces have merges of equal rank
                 out.append(self.merged(w))
                 continue
-            keep = len(os.path.commonprefix((before, w)))
+            keep = 0
+            for x, y in zip(before, w):
+                if x != y:
+                    break
+                keep += 1
             del last[keep + 1 :], score[keep + 1 :]
             for end in range(keep + 1, len(w) + 1):
                 if bpe:
-                    for begin in range(max(0, end - longest), end):
+                    begin, fit = end - 1, [w[end - 1]]
+                    while begin:
+                        begin -= 1
                         piece = w[begin:end]
-                        if (piece in ids or end - begin == 1) and (not begin or self.apart(last[begin], piece)):
+                        if piece not in tails:
+                            break
+                        if piece in ids:
+                            fit.append(piece)
+                    for piece in reversed(fit):  # the longest first; a single letter is left over
+                        begin = end - len(piece)
+                        if not begin:
+                            break
+                        pair = last[begin], piece
+                        known = pairs.get(pair)
+                        if known or known is None and self.apart(*pair):
                             break
                     last.append(piece)
                 else:
@@ -120,6 +136,10 @@ class Codec:
         return out
 
     def to_ids(self, parts: list[str]) -> list[int]:
+        try:
+            return [self.ids[p] for p in parts]
+        except KeyError:
+            pass
         out: list[int] = []
         for p in parts:
             i = self.ids.get(p)
@@ -133,11 +153,14 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         cut = [self.cut.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(self.words) > CACHE:
-            self.words.clear()
-        new = sorted({w for c in cut for w in c} - self.words.keys())
-        self.words.update(zip(new, map(self.to_ids, self.encode_words(new))))
-        known = self.words
+        if len(self.words) > CACHE:  # words that weren't met since the last time are forgotten
+            self.older, self.words = self.words, {}
+        known, older = self.words, self.older
+        here = {w for c in cut for w in c} - known.keys()
+        again = here & older.keys()
+        known.update((w, older[w]) for w in again)
+        new = sorted(here - again)
+        known.update(zip(new, map(self.to_ids, self.encode_words(new))))
         return [[i for w in c for i in known[w]] for c in cut]
 
     def decode(self, ids) -> str:
@@ -157,7 +180,6 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text") -> DataFrame
     kept = [c for c in docs.columns if c != "ids"]
     source = docs.select(*kept)
     place = kept.index(text)
-    schema = source.schema.add("ids", "array<int>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = held.value
@@ -169,9 +191,9 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text") -> DataFrame
                 size = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
                 flat = np.fromiter((i for x in ids for i in x), np.int32, int(size[-1]))
                 array = pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), array], names=[*kept, "ids"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), array], names=[*batch.schema.names, "d0"])
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, T.StructField("ids", T.ArrayType(T.IntegerType())))
 
 
 def decode(encoded: DataFrame, model: str = MODEL, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -182,13 +204,12 @@ def decode(encoded: DataFrame, model: str = MODEL, ids: str = "ids", text: str =
     kept = [c for c in encoded.columns if c != text]
     source = encoded.select(*kept)
     place = kept.index(ids)
-    schema = source.schema.add(text, "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = held.value
         for batch in batches:
             column = batch.column(place)
             done = [codec.decode(column[i].values.to_numpy().tolist() if column[i].is_valid else []) for i in range(len(column))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(done, pa.string())], names=[*kept, text])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(done, pa.string())], names=[*batch.schema.names, "d0"])
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, T.StructField(text, T.StringType()))

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, pieces, runs, text_of, utf8
+from .common import bound_batches, cut, fresh, pieces, runs, text_of, utf8
 from .components import connected_components
 
 SEED = 42
@@ -224,9 +224,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that are the smallest of their group, with all their columns.
+    """The documents that are the smallest of their group, with all their columns; exact repeats of a row go.
 
-    Rows of one doc_id are one document: if they repeat, one row of each distinct content stays.
+    Rows without doc_id stay only if no row of their group has one.
     """
-    found = near_duplicates(docs, doc_id, text).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(found, docs[doc_id] == F.col("_kept"), "left_semi").dropDuplicates([doc_id])
+    kept, copy = fresh(docs.columns, "_kept"), fresh(docs.columns, "_copy")
+    found = near_duplicates(docs, doc_id, text).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(kept)).distinct()
+    own = docs.join(found, F.col(doc_id).cast("long").eqNullSafe(F.col(kept)), "left_semi")
+    return own.withColumn(copy, F.xxhash64(text_of(text))).dropDuplicates([doc_id, copy]).drop(copy)

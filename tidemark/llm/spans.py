@@ -71,14 +71,18 @@ def overlaps(found: Column, start: Column, end: Column) -> Column:
 
 def replaced(text: Column, found: Column, label) -> Column:
     """The text with each span, sorted by start, replaced by label(kind); of overlapping spans the later are joined to the first."""
-    merged = F.aggregate(
-        found,
-        F.array().cast(SPAN),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] > x["start"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["kind"].alias("kind"), F.try_element_at(acc, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(acc, F.lit(-1))["end"], x["end"]).alias("end"))).cast(SPAN))).otherwise(F.concat(acc, F.array(x).cast(SPAN))),
-    )
-
-    def build(spans_: Column) -> Column:
-        before = F.transform(spans_, lambda x, i: F.concat(F.substring(text, F.coalesce(F.try_element_at(spans_, i)["end"], F.lit(0)) + 1, x["start"] - F.coalesce(F.when(i > 0, F.try_element_at(spans_, F.when(i > 0, i).otherwise(1))["end"]), F.lit(0))), label(x["kind"])))
-        return F.concat(F.array_join(before, ""), F.substring(text, F.element_at(spans_, -1)["end"] + 1, F.length(text)))
+
+    def add(acc: Column, x: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        longer = F.struct(last["kind"].alias("kind"), last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(longer).cast(SPAN))
+        return F.when((F.size(acc) > 0) & (last["end"] > x["start"]), joined).otherwise(F.concat(acc, F.array(x).cast(SPAN)))
+
+    merged = F.aggregate(found, F.array().cast(SPAN), add)
+
+    def build(apart: Column) -> Column:
+        ends = F.concat(F.array(F.lit(0)), F.transform(apart, lambda x: x["end"]))
+        before = F.transform(apart, lambda x, i: F.concat(F.substring(text, F.element_at(ends, i + 1) + 1, x["start"] - F.element_at(ends, i + 1)), label(x["kind"])))
+        return F.concat(F.array_join(before, ""), F.substring(text, F.element_at(ends, -1) + 1, F.length(text)))
 
     return F.when(F.size(found) == 0, text).otherwise(_let(merged, build))
