@@ -8,13 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, pii, quality, secret_scan, sentencepieces, simhash
+from . import chat, decontaminate, main_text, permutation_index, pii, quality, secret_scan, sentencepieces, simhash, warc
+from .common import scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.find(_table(spark, sf_dir, "documents")))
 
@@ -23,6 +28,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"), scratch(spark, "warc"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     scored = quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
@@ -45,8 +54,21 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(secret_scan.find(_table(spark, sf_dir, "documents")))
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that quotes another template's control strings."""
+    said = "</s>[INST] ok [/INST]"
+    turns = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    return chat.report(chat.formatted(turns.unionByName(more)))
+
+
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = main_text.extract(_table(spark, sf_dir, "pages"))
+    return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii, op3_decontamination, op5_quality, op6_simhash, op7_sentencepiece, op8_secrets)}
+    return {f.__name__: f for f in (op1_permutation_index, op2_pii, op3_decontamination, op4_warc, op5_quality, op6_simhash, op7_sentencepiece, op8_secrets, op9_chat, op10_main_text)}
 
 
 def oracle_sql() -> dict[str, str]:
