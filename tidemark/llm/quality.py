@@ -18,7 +18,7 @@ from .common import bound_batches, map_arrow, pieces, runs, text_of, utf8
 from .wordhash import WORD, mix, slice_hashes
 
 THRESHOLD = 0.3
-TRAIN_ROWS = 6000  # labelled rows that the model is fitted on, at most
+TRAIN_ROWS = 4000  # labelled rows that the model is fitted on, at most
 VOCABULARY = 1 << 15
 DIM, NONZERO, WINDOW = 48, 6, 2
 HIDDEN, EPOCHS, RATE, DECAY = 32, 60, 3e-3, 1e-4
@@ -40,7 +40,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def index_vectors(hashes: np.ndarray) -> np.ndarray:
     """Ternary vectors with NONZERO signs each, places and signs drawn from the hash."""
-    out = np.zeros((len(hashes), DIM), np.float32)
+    out = np.zeros((len(hashes), DIM), np.int8)
     for k in range(NONZERO):
         h = mix(hashes + np.uint64(0x1F123BB5 * (k + 1)))
         out[np.arange(len(hashes)), (h % np.uint64(DIM)).astype(np.int64)] += np.where(h >> np.uint64(63), 1, -1)
@@ -57,13 +57,15 @@ class Vectors:
         self.known = seen[keep]
         place = np.full(len(seen), -1)
         place[keep] = np.arange(len(keep))
-        word, index = place[inverse], index_vectors(seen)[inverse] if len(seen) else np.zeros((0, DIM), np.float32)
-        total = np.zeros((len(keep), DIM))
+        index, total = index_vectors(seen), np.zeros((len(keep), DIM))
+        inverse = inverse.astype(np.int32)
+        word = place[inverse].astype(np.int32)
         for off in range(1, WINDOW + 1):
             for a, b in ((slice(off, None), slice(None, -off)), (slice(None, -off), slice(off, None))):
                 ok = (word[a] >= 0) & (row[a] == row[b])
+                own, other = word[a][ok], inverse[b][ok]
                 for d in range(DIM):
-                    total[:, d] += np.bincount(word[a][ok], weights=index[b][ok, d], minlength=len(keep))
+                    total[:, d] += np.bincount(own, weights=index[:, d][other], minlength=len(keep))
         self.vectors = (total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
     def features(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
