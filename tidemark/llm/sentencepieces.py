@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,7 @@ from .common import bound_batches, map_arrow, pieces, utf8
 
 MODEL = os.environ.get("TIDEMARK_SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
+LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 CACHE = 1 << 18  # words of one of two generations that a worker remembers
 PAIRS = 1 << 20  # tested pairs that it remembers
 
@@ -40,15 +42,23 @@ class Codec:
         self.longest = max(map(len, self.ids), default=1)
         self.worst = min(self.scores.values(), default=0.0) - 10
         self.tails = {t[i:] for t in self.ids for i in range(len(t))}
-        self.words: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
-        inside = {c for t in self.ids if len(t) > 1 for c in t}
+        pairs = {t[i : i + 2] for t in self.ids for i in range(len(t) - 1)}
+        inside = {c for pair in pairs for c in pair}
+        # signs that no piece has within it, and signs that no piece has right after a letter, begin a word
         alone = "".join(c for c in "\n\t\r" if c not in inside)
+        after = {pair[1] for pair in pairs if re.match(f"[{LETTER}]", pair[0])}
+        hard = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in after)
         if any(MARK in t.lstrip(MARK) for t in self.ids):
             raise ValueError("a piece of this model goes on after a mark within it; words can't be encoded apart")
-        self.cut = re.compile(f"[{alone}]|{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+") if alone else re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+        other, soft = rf"[^{LETTER}{MARK}{alone}]", rf"[^{LETTER}{MARK}{alone}{re.escape(hard)}]"
+        self.cut = re.compile((f"[{alone}]|" if alone else "") + rf"(?=.){MARK}*{other}*(?:[{LETTER}]+(?:{soft}{other}*)?)*", re.S)
         self.bytes = [bytes([byte_ids.index(i)]) if i in byte_ids else t.replace(MARK, " ").encode() for i, t in enumerate(texts)]
+        self.sizes = np.array([len(b) for b in self.bytes], np.int64)
+        self.begins = np.concatenate(([0], np.cumsum(self.sizes)[:-1]))
+        self.table = np.frombuffer(b"".join(self.bytes), np.uint8)
 
     @classmethod
     def load(cls, path: str) -> Codec:
@@ -135,6 +145,10 @@ class Codec:
             before = w
         return out
 
+    def packed(self, parts: list[str]) -> bytes:
+        """Ids of the pieces, four bytes each."""
+        return array("i", self.to_ids(parts)).tobytes()
+
     def to_ids(self, parts: list[str]) -> list[int]:
         try:
             return [self.ids[p] for p in parts]
@@ -151,7 +165,7 @@ class Codec:
                 out.append(self.unknown)
         return out
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode_packed(self, texts: list[str]) -> list[bytes]:
         cut = [self.cut.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         if len(self.words) > CACHE:  # words that weren't met since the last time are forgotten
             self.older, self.words = self.words, {}
@@ -160,13 +174,26 @@ class Codec:
         again = here & older.keys()
         known.update((w, older[w]) for w in again)
         new = sorted(here - again)
-        known.update(zip(new, map(self.to_ids, self.encode_words(new))))
-        return [[i for w in c for i in known[w]] for c in cut]
+        known.update(zip(new, map(self.packed, self.encode_words(new))))
+        return [b"".join([known[w] for w in c]) for c in cut]
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [array("i", x).tolist() for x in self.encode_packed(texts)]
+
+    def decode_batch(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """Texts of several lists of ids, laid end to end."""
+        size = self.sizes[ids]
+        to = np.concatenate(([0], np.cumsum(size)))
+        at = np.arange(to[-1]) + np.repeat(self.begins[ids] - to[:-1], size)
+        raw = self.table[at]
+        begin, end = to[ends[:-1]], to[ends[1:]]
+        if len(raw):  # the space that was added in front
+            begin = begin + ((end > begin) & (raw[np.minimum(begin, len(raw) - 1)] == 32))
+        flat = raw.tobytes()
+        return pa.array([flat[a:b].decode("utf-8", "replace") for a, b in zip(begin.tolist(), end.tolist())], pa.string())
 
     def decode(self, ids) -> str:
-        raw = self.bytes
-        text = b"".join([raw[i] for i in ids]).decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
+        return self.decode_batch(np.asarray(ids, np.int64), np.array([0, len(ids)]))[0].as_py()
 
 
 def encode(docs: DataFrame, model: str = MODEL, text: str = "text") -> DataFrame:
@@ -187,11 +214,10 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text") -> DataFrame
             column = batch.column(place).fill_null("")
             _, offsets = utf8(column)
             for a, b in pieces(offsets, 1 << 20):
-                ids = codec.encode(column.slice(a, b - a).to_pylist())
-                size = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
-                flat = np.fromiter((i for x in ids for i in x), np.int32, int(size[-1]))
-                array = pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), array], names=[*batch.schema.names, "d0"])
+                packed = codec.encode_packed(column.slice(a, b - a).to_pylist())
+                size = np.concatenate(([0], np.cumsum([len(x) // 4 for x in packed])))
+                ids = pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), ids], names=[*batch.schema.names, "d0"])
 
     return map_arrow(source, run, T.StructField("ids", T.ArrayType(T.IntegerType())))
 
@@ -209,7 +235,9 @@ def decode(encoded: DataFrame, model: str = MODEL, ids: str = "ids", text: str =
         codec = held.value
         for batch in batches:
             column = batch.column(place)
-            done = [codec.decode(column[i].values.to_numpy().tolist() if column[i].is_valid else []) for i in range(len(column))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(done, pa.string())], names=[*batch.schema.names, "d0"])
+            ends = np.concatenate(([0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))).astype(np.int64)
+            flat = column.flatten().to_numpy(zero_copy_only=False)
+            done = [codec.decode_batch(flat[ends[a] : ends[b]], ends[a : b + 1] - ends[a]) for a, b in pieces(ends, 1 << 17)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.concat_arrays(done) if done else pa.array([], pa.string())], names=[*batch.schema.names, "d0"])
 
     return map_arrow(source, run, T.StructField(text, T.StringType()))
