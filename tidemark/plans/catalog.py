@@ -89,7 +89,7 @@ def sql_turbo(view: str) -> str:
     score = sql_policy({"rank": sql_rank("level"), "count": "CAST(c AS DOUBLE)", "level_total": "lt", "message": "sample"}, 0.01, 1.0, "n")
     return f"""WITH l AS ({view}), t AS (SELECT level, {sql_template('message')} AS template, count(*) AS c, arg_min(message, idx) AS sample, arg_min(service, idx) AS service FROM l GROUP BY 1, 2),
         w AS (SELECT *, sum(c) OVER (PARTITION BY level) AS lt, sum(c) OVER () AS n FROM t), s AS (SELECT *, round({score}, 4) AS score FROM w)
-        SELECT level, template, CAST(c AS BIGINT) AS count, sample, service, score, 0.7 AS threshold, score >= 0.7 AS flagged FROM s"""
+        SELECT level, template, CAST(c AS BIGINT) AS count, sample, service, score, CAST(0.7 AS DOUBLE) AS threshold, score >= 0.7 AS flagged FROM s"""
 
 
 def sql_seen(view: str) -> str:
@@ -209,8 +209,8 @@ def numeric_slots_orders(spark, sf_dir):
     return _orders(spark, sf_dir).select("idx", s.alias("s")).select("idx", F.element_at("s", 1).alias("first_slot"), F.element_at("s", -1).alias("last_slot"), F.size("s").alias("n"))
 
 
-@query(f"""WITH l AS ({EVENTS}) SELECT idx, {sql_case(severity.FEATURE, 'level', '0.15')} AS level, 0.0 AS error_words, 1.0 AS has_number,
-    round(least(length(message) / 200.0, 1.0), 6) AS length, 1.0 AS has_duration, round(least(ln(1 + CAST(regexp_extract(message, '([0-9.]+)ms$', 1) AS DOUBLE) / 1000) / 10, 1.0), 6) AS duration, 1.0 AS has_service FROM l""")
+@query(f"""WITH l AS ({EVENTS}) SELECT idx, CAST({sql_case(severity.FEATURE, 'level', '0.15')} AS DOUBLE) AS level, CAST(0 AS DOUBLE) AS error_words, CAST(1 AS DOUBLE) AS has_number,
+    round(least(length(message) / 200.0, 1.0), 6) AS length, CAST(1 AS DOUBLE) AS has_duration, round(least(ln(1 + CAST(regexp_extract(message, '([0-9.]+)ms$', 1) AS DOUBLE) / 1000) / 10, 1.0), 6) AS duration, CAST(1 AS DOUBLE) AS has_service FROM l""")
 def features_events(spark, sf_dir):
     f = text.features(F.col("level"), F.col("service"), F.col("message"))
     lines = _events(spark, sf_dir).select("idx", f.alias("f"))
@@ -364,7 +364,7 @@ def detect_events(spark, sf_dir):
 
 # --- families, incidents and reports ---------------------------------------------------------------------------------
 
-_FLAGGED = f"""WITH l AS ({EVENTS}), f AS (SELECT *, upper(level) AS level_u, {sql_template('message')} AS template, CASE WHEN level = 'CRITICAL' THEN 0.9 WHEN level = 'ERROR' THEN 0.75 WHEN level = 'WARN' THEN 0.5 ELSE 0.1 END AS score FROM l), g AS (SELECT *, score >= 0.7 AS flagged FROM f)"""
+_FLAGGED = f"""WITH l AS ({EVENTS}), f AS (SELECT *, upper(level) AS level_u, {sql_template('message')} AS template, CASE WHEN level = 'CRITICAL' THEN 0.9 WHEN level = 'ERROR' THEN 0.75 WHEN level = 'WARN' THEN 0.5 ELSE 0.1 END::DOUBLE AS score FROM l), g AS (SELECT *, score >= 0.7 AS flagged FROM f)"""
 
 
 def _flagged(spark, sf_dir) -> DataFrame:
