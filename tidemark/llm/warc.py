@@ -8,7 +8,9 @@ checked against the total length, and the chunked framing of the transfer is tak
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -75,24 +77,31 @@ def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", page:
 
 
 def write(pages: DataFrame, path: str, **options) -> None:
-    """Archives of the pages, as files of at most so many records each."""
-    records(pages, **options).write.option("lineSep", CRLF).option("maxRecordsPerFile", PER_FILE).text(path)
+    """Archives of the pages, as gzip files of at most so many records each."""
+    records(pages, **options).write.option("lineSep", CRLF).option("maxRecordsPerFile", PER_FILE).option("compression", "gzip").text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (lower case) and block of each record; a file that breaks off ends with its last whole record."""
-    at = 0
-    while at < len(data):
-        head = data.find(b"\r\n\r\n", at)
-        if head < 0 or not data.startswith(b"WARC/", at):
-            return
-        lines = data[at:head].decode("utf-8", "replace").split(CRLF)[1:]
-        fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
-        end = head + 4 + int(fields.get("content-length", 0))
-        if end > len(data):
-            return
-        yield fields, data[head + 4 : end]
-        at = end + 4
+    """Header fields (lower case) and block of each record of a file, which may be gzipped.
+
+    Records are read one by one, so only one is unpacked at a time; a file that breaks off ends with its last whole one.
+    """
+    stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data))) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
+    try:
+        while stream.readline().startswith(b"WARC/"):
+            fields = {}
+            while line := stream.readline().rstrip(b"\r\n"):
+                k, _, v = line.decode("utf-8", "replace").partition(":")
+                fields[k.strip().lower()] = v.strip()
+            size = int(fields.get("content-length", 0))
+            block = stream.read(size)
+            if len(block) < size:
+                return
+            yield fields, block
+            stream.readline()
+            stream.readline()
+    except EOFError:
+        return
 
 
 def unchunk(body: bytes) -> tuple[bytes, bool]:
