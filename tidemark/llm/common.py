@@ -57,6 +57,11 @@ def fresh(columns: list[str], name: str) -> str:
     return name
 
 
+def quoted(columns: list[str]) -> list[str]:
+    """Names as select() takes them, dots and all."""
+    return ["`" + c.replace("`", "``") + "`" for c in columns]
+
+
 def map_arrow(df: DataFrame, run, *added: T.StructField) -> DataFrame:
     """mapInArrow over all columns of df, whatever their names; run returns them in their order, and those added."""
     places = [f"c{i}" for i in range(len(df.columns))]

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import spans as S
-from .common import cut, fresh, text_of
+from .common import cut, fresh, quoted, text_of
 
 KINDS = ["email", "ip", "card", "phone"]
 # The strict forms. Possessive quantifiers and look-behinds change no match; they keep long runs linear.
@@ -122,4 +122,4 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chars: s
     new = F.when(F.col(spans).isNull(), F.col(text)).otherwise(S.replaced(F.col(text), F.col(spans), lambda k: F.element_at(names, k + 1)))
     size = F.when(F.col(spans).isNull(), F.col(chars)).otherwise(F.length(text).cast(docs.schema[chars].dataType)) if chars in docs.columns else None
     out = both.withColumn(text, new)
-    return (out.withColumn(chars, size) if size is not None else out).select(*docs.columns)
+    return (out.withColumn(chars, size) if size is not None else out).select(*quoted(docs.columns))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import bound_batches, map_arrow, pieces, utf8
+from .common import bound_batches, map_arrow, pieces, quoted, utf8
 
 MODEL = os.environ.get("TIDEMARK_SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
@@ -205,7 +205,7 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text") -> DataFrame
     bound_batches(spark)
     held = spark.sparkContext.broadcast(Codec.load(model))
     kept = [c for c in docs.columns if c != "ids"]
-    source = docs.select(*kept)
+    source = docs.select(*quoted(kept))
     place = kept.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +228,7 @@ def decode(encoded: DataFrame, model: str = MODEL, ids: str = "ids", text: str =
     bound_batches(spark)
     held = spark.sparkContext.broadcast(Codec.load(model))
     kept = [c for c in encoded.columns if c != text]
-    source = encoded.select(*kept)
+    source = encoded.select(*quoted(kept))
     place = kept.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
