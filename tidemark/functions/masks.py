@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,9 +25,18 @@ MASKS = [
 _NO_DIGIT = {1, 2, 7, 8}
 
 
+_EITHER = f"(?:(?<!{_W})(?={_W})|(?<={_W})(?!{_W}))"
+
+
+def bounded(pattern: str) -> str:
+    """Word boundaries that are ASCII: Java's own follow Unicode."""
+    return pattern.replace("~", _EITHER)
+
+
 def java(pattern: str) -> str:
-    """A tilde as an ASCII word boundary: Java's own follows Unicode."""
-    return pattern.replace("~", f"(?:(?<!{_W})(?={_W})|(?<={_W})(?!{_W}))")
+    """A mask with its tildes as ASCII word boundaries. Beside what surely is a word character one look is enough."""
+    head = re.sub(r"^(\(\?i\))?~(?=[\[0-9])", lambda m: (m[1] or "") + f"(?<!{_W})", pattern)
+    return bounded(head if head.endswith("%)~") else re.sub(r"~$", f"(?!{_W})", head))
 
 
 def re2(pattern: str) -> str:
@@ -47,5 +58,14 @@ def template(message: Column) -> Column:
     return F.lower(F.regexp_replace(done, r"\s+", " "))
 
 
+def shape(message: Column) -> Column:
+    """The message with all digits alike: messages of one shape have one template, since masks don't tell digits apart.
+
+    A zero stays where it may begin a hexadecimal number.
+    """
+    text = strip(message)
+    return F.when(text.rlike("0[xX]"), F.translate(text, "23456789", "11111111")).otherwise(F.translate(text, "023456789", "111111111"))
+
+
 def template_id(template_: Column) -> Column:
     return F.substring(F.sha1(template_), 1, 12)

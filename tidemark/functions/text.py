@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .masks import MASKS, java, strip
+from .masks import MASKS, bounded, java, strip
 from .severity import FEATURE, lookup
 
 # Words of catastrophes and of failures.
@@ -82,7 +82,7 @@ def numeric_slots(message: Column) -> Column:
 def redact(text: Column) -> Column:
     """Secrets and personal data masked; word boundaries are ASCII, so accented letters count as signs."""
     for pattern, to in REDACTIONS:
-        text = F.regexp_replace(text, java(pattern.replace(r"\b", "~")), to)
+        text = F.regexp_replace(text, bounded(pattern.replace(r"\b", "~")), to)
     return text
 
 

@@ -42,12 +42,13 @@ def score(
     level: Column, message: Column, count: Column, level_total: Column, total: Column, policy: Policy = Policy(), *, cluster: Column | None = None,
     cluster_size: Column | None = None, outlier: Column | None = None, z: Column | None = None, distance: Column | None = None, burst: Column | None = None,
     flood: Column | None = None, recurring: Column | None = None, global_rare: Column | None = None, span: Column | None = None, novel: Column | None = None,
-    surge: Column | None = None, chronic: Column | None = None, history: Column | None = None, confidence: Column | None = None, reasons: bool = True,
+    surge: Column | None = None, chronic: Column | None = None, history: Column | None = None, confidence: Column | None = None, said: tuple[Column, Column] | None = None, reasons: bool = True,
 ) -> Column:
     """struct(score, reasons) by the policy; reasons are (code, weight) in the policy's order. Signals not given are off.
 
-    Signals are cheap columns by intention: put what is expensive in a projection of its own below.
+    said tells whether the message speaks of a catastrophe or a failure, where that is known already.
     """
+    catastrophe, failure = said if said else (has_catastrophe(message), has_failure(message))
     no, zero = F.lit(False), F.lit(0.0)
     burst, flood, recurring, global_rare, novel, surge, chronic, outlier = (x if x is not None else no for x in (burst, flood, recurring, global_rare, novel, surge, chronic, outlier))
     span, history, z, distance = (x if x is not None else zero for x in (span, history, z, distance))
@@ -78,8 +79,8 @@ def score(
         ("burst", burst, F.lit(0.50)),
         ("flood", flood, 0.35 + 0.25 * F.least(F.lit(1.0), count / total_f)),
         ("recurring", recurring & ~chronic, 0.02 + 0.25 * conc),
-        ("catastrophe", live & has_catastrophe(message), F.lit(0.20)),
-        ("failure", live & has_failure(message), F.lit(0.22)),
+        ("catastrophe", live & catastrophe, F.lit(0.20)),
+        ("failure", live & failure, F.lit(0.22)),
         ("novel", novel & serious, F.lit(0.35)),
         ("surge", surge & serious & ~novel, F.lit(0.30)),
     ]

@@ -28,15 +28,15 @@ def query(sql: str | None = None):
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.event_lines(table(spark, sf_dir, "events"))
+    return views.event_lines(views.spread(table(spark, sf_dir, "events")))
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.order_lines(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"))
+    return views.order_lines(views.spread(table(spark, sf_dir, "orders")), table(spark, sf_dir, "customer"))
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.doc_lines(table(spark, sf_dir, "documents"))
+    return views.doc_lines(views.spread(table(spark, sf_dir, "documents")))
 
 
 # --- pieces of SQL ---------------------------------------------------------------------------------------------------
@@ -171,7 +171,7 @@ def _sql_redact(column: str) -> str:
 
 @query(f"SELECT doc_id, {_sql_redact('text')} AS redacted FROM documents")
 def redact_documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.redact(F.col("text")).alias("redacted"))
+    return views.spread(table(spark, sf_dir, "documents")).select("doc_id", text.redact(F.col("text")).alias("redacted"))
 
 
 @query(f"""SELECT doc_id, pos, regexp_matches(value, {_q('(?i)' + '|'.join(text.FAILURE))}) AS failure, regexp_matches(value, {_q('(?i)' + '|'.join(text.CATASTROPHE))}) AS catastrophe FROM ({DOCS})""")
@@ -186,7 +186,7 @@ _STATUS = f"CAST(regexp_extract(value, {_q(_ACCESS)}, 5) AS INTEGER)"
 @query(f"""SELECT idx, 'NGINX' AS format, regexp_extract(value, {_q(_ACCESS)}, 2) AS timestamp, CASE WHEN {_STATUS} IN (503, 504) THEN 'CRITICAL' WHEN {_STATUS} >= 500 THEN 'ERROR' WHEN {_STATUS} = 404 THEN 'INFO' WHEN {_STATUS} >= 400 THEN 'WARN' ELSE 'INFO' END AS level,
     'nginx' AS service, 'GET ' || regexp_extract(value, {_q(_ACCESS)}, 4) || ' ' || CAST({_STATUS} AS VARCHAR) AS message, regexp_extract(value, {_q(_ACCESS)}, 1) AS ip FROM ({PAGES})""")
 def access_log_pages(spark, sf_dir):
-    lines = formats.parsed(views.page_lines(table(spark, sf_dir, "pages")))
+    lines = formats.parsed(views.page_lines(views.spread(table(spark, sf_dir, "pages"))))
     return lines.select("idx", "format", "timestamp", "level", "service", "message", F.element_at("metadata", "ip").alias("ip"))
 
 

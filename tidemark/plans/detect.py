@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import has_catastrophe, has_failure, numeric_slots, session_key
 from tidemark.operators import detectors as D
 from tidemark.operators import signals as G
 from tidemark.operators.score import FULL, THRESHOLDS, Policy, score, volume_confidence
@@ -25,28 +27,39 @@ class Config:
         return THRESHOLDS.get(self.sensitivity, THRESHOLDS["normal"])
 
 
-def detect(lines: DataFrame, n: int | None = None, config: Config = Config(), baseline: DataFrame | None = None, baseline_total: int = 0, clusters: DataFrame | None = None) -> DataFrame:
+def detect(lines: DataFrame, n: int | None = None, config: Config = Config(), baseline: DataFrame | None = None, baseline_total: int = 0, clusters: DataFrame | None = None, keep: bool = True) -> DataFrame:
     """lines with level_u, template, score, flagged, reasons and the parts N, S, P, B, C of the score.
 
-    clusters has (level_u, template, cluster, cluster_size, outlier, z, distance) if templates were clustered. An empty
+    The lines with their templates are read by every detector; they are kept in memory, or on disk where that is full,
+    until spark.catalog.clearCache() unless keep is false. clusters has (level_u, template, cluster, cluster_size, outlier, z, distance) if templates were clustered. An empty
     corpus gives no rows.
     """
     n = lines.count() if n is None else n
     on, flag_at = config.detectors, config.flag_at
     seen = G.templated(lines)
     seen = G.with_burst(seen) if "burst" in on else seen.withColumn("burst", F.lit(False))
+    message = F.coalesce("message", F.lit(""))
+    seen = seen.withColumn("_cat", has_catastrophe(message)).withColumn("_fail", has_failure(message))
+    if "parameters" in on:
+        seen = seen.withColumn("_slots", numeric_slots(message))
+    if "sequence" in on:
+        seen = seen.withColumn("_session", session_key(F.when(message != "", message).otherwise(F.coalesce("raw", F.lit("")) if "raw" in lines.columns else F.lit(""))))
+    if keep:
+        seen = seen.persist(StorageLevel.MEMORY_AND_DISK)
     groups = G.groups(seen, n, baseline, baseline_total).drop("sample", "service", "rank", "head", "first_idx", "last_idx", "any_burst")
     if clusters is not None:
         groups = groups.join(clusters, ["level_u", "template"], "left")
-    own = seen.join(groups, ["level_u", "template"])
-    c = lambda name: F.col(name) if name in own.columns else None
+    # the policy says the same of all lines of a template with the same burst and words: it is asked once for each
+    kinds = ["level_u", "template", "burst", "_cat", "_fail"]
+    asked = seen.select(*kinds).distinct().join(groups, ["level_u", "template"])
+    c = lambda name: F.col(name) if name in asked.columns else None
     policy = score(
-        F.col("level_u"), F.coalesce("message", F.lit("")), F.col("count"), F.col("level_total"), F.lit(n), config.policy, cluster=c("cluster"), cluster_size=c("cluster_size"), outlier=c("outlier"),
-        z=c("z"), distance=c("distance"), burst=F.col("burst"), flood=F.col("flood"), recurring=F.col("recurring"), global_rare=F.col("global_rare"), span=F.col("span"), novel=F.col("novel"),
-        surge=F.col("surge"), chronic=F.col("chronic"), history=F.col("history"), confidence=volume_confidence(F.col("count"), config.confidence_k),
+        F.col("level_u"), F.lit(""), F.col("count"), F.col("level_total"), F.lit(n), config.policy, cluster=c("cluster"), cluster_size=c("cluster_size"), outlier=c("outlier"), z=c("z"),
+        distance=c("distance"), burst=F.col("burst"), flood=F.col("flood"), recurring=F.col("recurring"), global_rare=F.col("global_rare"), span=F.col("span"), novel=F.col("novel"), surge=F.col("surge"),
+        chronic=F.col("chronic"), history=F.col("history"), confidence=volume_confidence(F.col("count"), config.confidence_k), said=(F.col("_cat"), F.col("_fail")),
     )
-    out = own.withColumn("policy", policy).withColumn("N", F.col("policy.score"))
-    parts = {"S": ("sequence", lambda: D.sequences(seen, flag_at=flag_at).groupBy("idx").agg(F.max("score").alias("S"))), "P": ("parameters", lambda: D.parameter_lines(seen).withColumnRenamed("score", "P")), "B": ("rate", lambda: D.rate_lines(seen, n).withColumnRenamed("score", "B"))}
+    out = seen.join(asked.select(*kinds, policy.alias("policy")), kinds).withColumn("N", F.col("policy.score"))
+    parts = {"S": ("sequence", lambda: D.sequences(seen, flag_at=flag_at, key=F.col("_session")).groupBy("idx").agg(F.max("score").alias("S"))), "P": ("parameters", lambda: D.parameter_lines(seen, slots=F.col("_slots")).withColumnRenamed("score", "P")), "B": ("rate", lambda: D.rate_lines(seen, n).withColumnRenamed("score", "B"))}
     for name, (which, make) in parts.items():
         out = out.join(make(), "idx", "left").withColumn(name, F.coalesce(name, F.lit(0.0))) if which in on else out.withColumn(name, F.lit(0.0))
     out = out.withColumn("fused", F.greatest("N", "S", "P", "B"))

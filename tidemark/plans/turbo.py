@@ -1,11 +1,15 @@
-"""Count-based scan: templates by count, scored by the policy. One aggregation of the lines, map-side combined."""
+"""Count-based scan: templates by count, scored by the policy.
+
+Lines are first counted by shape, which is cheap to make and combines on the map side; masks then run once for each
+shape and not for each line.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.masks import template
+from tidemark.functions.masks import shape, template
 from tidemark.operators.score import THRESHOLDS, score
 
 
@@ -15,7 +19,9 @@ def scan(lines: DataFrame, sensitivity: str = "normal", reasons: bool = False) -
     The sample is the message of the line with the smallest idx.
     """
     message = F.coalesce("message", F.lit(""))
-    grouped = lines.select("level", template(message).alias("template"), "idx", message.alias("message"), "service").groupBy("level", "template").agg(F.count("*").alias("count"), F.min_by(F.struct("message", "service"), "idx").alias("s"))
+    first = F.min(F.struct("idx", message.alias("message"), "service"))
+    shapes = lines.groupBy("level", shape(message).alias("shape")).agg(F.count("*").alias("count"), first.alias("s"))
+    grouped = shapes.groupBy("level", template(F.col("shape")).alias("template")).agg(F.sum("count").alias("count"), F.min("s").alias("s"))
     every, by_level = Window.partitionBy(), Window.partitionBy("level")
     # rows here are templates, not lines
     sized = grouped.withColumn("level_total", F.sum("count").over(by_level)).withColumn("total", F.sum("count").over(every))

@@ -10,6 +10,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table that is one small file are dealt out to all cores; a table of many partitions stays as it is.
+
+    What follows is bound by regular expressions, so a small shuffle of the input pays.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores and df.rdd.getNumPartitions() < cores else df
+
+
 def event_lines(events: DataFrame) -> DataFrame:
     failed = F.col("event_type") == "error"
     level = F.when(failed & (F.col("value") >= 200), "CRITICAL").when(failed, "ERROR").when(F.col("event_type") == "signup", "WARN").otherwise("INFO")
