@@ -148,7 +148,7 @@ def _generic(line: Column, service_col: bool | None, has_level: bool) -> Column:
     return _entry(F.regexp_extract(line, GENERIC, 1), level, F.when(takes & ~empty, name).otherwise("unknown"), F.when(empty, "").when(F.size(after) == 0, rest).otherwise(message))
 
 
-def parse(line: Column, fmt: Column, service_col: bool | None = None, has_level: bool = False) -> Column:
+def parse(line: Column, fmt: Column | str, service_col: bool | None = None, has_level: bool = False) -> Column:
     """struct(timestamp, level, service, message, parsed, metadata) of a line under a format; never fails."""
     text = strip(line)
     g = lambda name, i, of=text: F.regexp_extract(of, PATTERNS[name], i)
@@ -177,18 +177,25 @@ def parse(line: Column, fmt: Column, service_col: bool | None = None, has_level:
     for name in ("NGINX", "APACHE"):
         status = g(name, 5).try_cast("int")
         made[name] = _entry(g(name, 2), status_level(status), F.lit(name.lower()), F.concat_ws(" ", g(name, 3), g(name, 4), status.cast("string")), F.create_map(F.lit("ip"), g(name, 1), F.lit("status"), g(name, 5)))
+    plain = _entry(F.lit(""), infer_level(text), F.lit("unknown"), text, parsed=False)
+    if isinstance(fmt, str):  # one format: only its branch is built
+        if fmt in made:
+            return F.when((bare if fmt == "SYSLOG" else text).rlike(PATTERNS[fmt]), made[fmt]).otherwise(plain)
+        if fmt == "GENERIC":
+            return F.when(text.rlike(GENERIC), _generic(text, service_col, has_level)).otherwise(plain)
+        return _json(text) if fmt == "JSON" else _logfmt(text) if fmt == "LOGFMT" else plain
     out = F.when(fmt == "JSON", _json(text))
     for name, entry in made.items():
         out = out.when((fmt == name) & (bare if name == "SYSLOG" else text).rlike(PATTERNS[name]), entry)
     out = out.when(fmt == "LOGFMT", _logfmt(text)).when((fmt == "GENERIC") & text.rlike(GENERIC), _generic(text, service_col, has_level))
-    return out.otherwise(_entry(F.lit(""), infer_level(text), F.lit("unknown"), text, parsed=False))
+    return out.otherwise(plain)
 
 
 def parsed(lines: DataFrame, fmt: str | None = None, service_col: bool | None = None, has_level: bool = False, value: str = "value") -> DataFrame:
     """lines with the fields of each; the format is given, or found line by line. Blank lines are left out."""
     text = F.coalesce(F.col(value), F.lit(""))
     kind = lines.filter(strip(text) != "").withColumn("format", F.lit(fmt) if fmt else detect(text))
-    return kind.withColumn("entry", parse(text, F.col("format"), service_col, has_level)).select("*", "entry.*").drop("entry")
+    return kind.withColumn("entry", parse(text, fmt or F.col("format"), service_col, has_level)).select("*", "entry.*").drop("entry")
 
 
 def sniff(lines: DataFrame, order: str = "idx", value: str = "value", sample: int = 200) -> DataFrame:

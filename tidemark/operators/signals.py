@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import severity
 from tidemark.functions.masks import template
 
+from .cut import cut
 from .score import HISTORY_HEAD
 
 # When a template is chronic, floods, recurs, is rare or new.
@@ -47,10 +48,12 @@ def dense(lines: DataFrame, order: list[str | Column]) -> DataFrame:
     """lines with idx from 0 in the order given, without a window over all rows.
 
     Rows are dealt out by range, so each partition holds a stretch of the order; a count for each partition, which is
-    as small as their number, says where its stretch begins.
+    as small as their number, says where its stretch begins. The dealt rows are checkpointed, so both reads of them see
+    the same partitions.
     """
     ranged = lines.repartitionByRange(*order).sortWithinPartitions(*order)
     local = ranged.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
+    local = cut(local)
     counts = local.groupBy("_p").agg(F.count("*").alias("c")).withColumn("_before", F.sum("c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)))
     return local.join(F.broadcast(counts.select("_p", F.coalesce("_before", F.lit(0)).alias("_before"))), "_p").withColumn("idx", F.col("_before") + F.col("_i")).drop("_p", "_i", "_before")
 

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cut import cut
+
 # Words that carry no meaning in log lines.
 STOP = """a an and are as at be been but by for from had has have he her his i in is it its no not of on or our she so that the their
 them then there these they this to was we were what when which who will with you your""".split()
@@ -97,15 +99,15 @@ def clusters(points: DataFrame, eps: float, least: float = 4.0, most: int = 40_0
     left = own.select("id", "v", F.col("s0").alias("a0"), F.col("s1").alias("a1")).withColumn("k0", F.explode(around)).withColumn("k1", F.explode(around)).withColumn("s0", F.col("a0") + F.col("k0")).withColumn("s1", F.col("a1") + F.col("k1")).select("id", "v", "s0", "s1")
     right = own.select(F.col("id").alias("id2"), F.col("v").alias("v2"), F.col("weight").alias("w2"), "s0", "s1")
     d2 = F.aggregate(F.zip_with("v", "v2", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x)
-    near = _cut(left.join(right, ["s0", "s1"]).filter(d2 <= eps * eps).select("id", "id2", "w2"))
-    cores = _cut(near.groupBy("id").agg(F.sum("w2").alias("w")).filter(F.col("w") >= least).select("id"))
-    edges = _cut(near.join(cores, "id").join(cores.select(F.col("id").alias("id2")), "id2").select("id", "id2"))
+    near = cut(left.join(right, ["s0", "s1"]).filter(d2 <= eps * eps).select("id", "id2", "w2"))
+    cores = cut(near.groupBy("id").agg(F.sum("w2").alias("w")).filter(F.col("w") >= least).select("id"))
+    edges = cut(near.join(cores, "id").join(cores.select(F.col("id").alias("id2")), "id2").select("id", "id2"))
     label = cores.select("id", F.col("id").alias("cluster"))
     before = None
     for _ in range(rounds):
         least_near = edges.join(label.select(F.col("id").alias("id2"), "cluster"), "id2").groupBy("id").agg(F.min("cluster").alias("cluster"))
         # pointer jump: the label of the label
-        label = _cut(least_near.alias("x").join(least_near.select(F.col("id").alias("cluster"), F.col("cluster").alias("next")), "cluster", "left").select("id", F.coalesce("next", "cluster").alias("cluster")))
+        label = cut(least_near.alias("x").join(least_near.select(F.col("id").alias("cluster"), F.col("cluster").alias("next")), "cluster", "left").select("id", F.coalesce("next", "cluster").alias("cluster")))
         now = label.agg(F.sum(F.col("cluster").cast("decimal(38,0)"))).first()[0]
         if now == before:
             break
@@ -115,10 +117,3 @@ def clusters(points: DataFrame, eps: float, least: float = 4.0, most: int = 40_0
     sizes = named.groupBy("cluster").agg(F.sum("weight").alias("size"))
     return named.join(sizes, "cluster").select("id", "cluster", F.when(F.col("cluster") == -1, F.col("weight")).otherwise(F.col("size")).alias("size"))
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Lineage is cut in the shared folder; where none is set, a local one for tests."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file:///tmp/tidemark-shared")
-    return df.checkpoint()
