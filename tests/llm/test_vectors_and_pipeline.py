@@ -73,3 +73,18 @@ def test_queries_run(spark):
     for name, f in queries.queries().items():
         df = f(spark, "/root/testdata/sf0.001")
         assert df.count() >= 0, name
+
+
+def test_same_as_sql(spark):
+    import duckdb
+
+    from tidemark.llm import queries
+
+    con = duckdb.connect()
+    for t in ("pages", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+    for name, sql in queries.oracle_sql().items():
+        want = con.execute(sql)
+        names = [d[0] for d in want.description]
+        got = queries.queries()[name](spark, "/root/testdata/sf0.001").select(*names).collect()
+        assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want.fetchall()))
