@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,7 +54,8 @@ class Result:
 
     @cached_property
     def incidents(self) -> DataFrame:
-        own = families.families(self.lines, by_service=True).select(F.lit(self.source).alias("source"), masks.template_id(F.col("template")).alias("template_id"), F.col("level_u").alias("level"), "service", "count", "first_ts", "last_ts", traces.origin(F.col("sample"), traces.frames(F.col("sample")))["origin"].alias("origin"))
+        found = families.families(self.lines, by_service=True).withColumn("f", traces.frames(F.col("sample")))
+        own = found.select(F.lit(self.source).alias("source"), masks.template_id(F.col("template")).alias("template_id"), F.col("level_u").alias("level"), "service", "count", "first_ts", "last_ts", traces.origin(F.col("sample"), F.col("f"))["origin"].alias("origin"))
         return incidents.group(own)
 
     @cached_property
@@ -68,8 +70,8 @@ class Result:
 
     def explain(self) -> DataFrame:
         found = self.families
-        f = traces.frames(F.col("sample"))
-        return sinks.explain_cards(found, found.select("level_u", "template", traces.diagnose(F.col("level_u"), F.col("sample"), f).alias("d")))
+        framed = found.withColumn("f", traces.frames(F.col("sample")))
+        return sinks.explain_cards(found, framed.select("level_u", "template", traces.diagnose(F.col("level_u"), F.col("sample"), F.col("f")).alias("d")))
 
     def to_json(self) -> str:
         return sinks.document(self.families, self.assessment, self.incidents)
@@ -88,7 +90,7 @@ def analyse(
     spark: SparkSession, source: str | None = None, lines: list[str] | None = None, cmd: str | None = None, mode: str = "fast", sensitivity: str = "normal", fmt: str | None = None,
     baseline: DataFrame | None = None, baseline_total: int = 0, embeddings: DataFrame | None = None,
 ) -> Result | DataFrame:
-    """Result of the modes fast (clusters of templates), exact (no clusters) and deep (clusters of given embeddings);
+    """Entries and scored lines are kept until spark.catalog.clearCache(). Result of the modes fast (clusters of templates), exact (no clusters) and deep (clusters of given embeddings);
     the turbo mode gives the scan's templates."""
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}")
@@ -98,5 +100,7 @@ def analyse(
     own = own.persist()
     n, config, known = own.count(), Config(sensitivity=sensitivity), {"baseline": baseline, "baseline_total": baseline_total}
     if mode == "exact":
-        return Result(detect(own, n, config, **known), n, source or "")
-    return Result(fast.detect_clustered(own, n, config, embeddings if mode == "deep" else None, **known), n, source or "")
+        scored = detect(own, n, config, **known)
+    else:
+        scored = fast.detect_clustered(own, n, config, embeddings if mode == "deep" else None, **known)
+    return Result(scored.persist(StorageLevel.MEMORY_AND_DISK), n, source or "")
