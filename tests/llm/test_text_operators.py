@@ -150,6 +150,29 @@ def test_tree_against_all_pairs(spark):
     assert len(set(zip(roots, label))) == len(set(roots)) == len(set(label))
 
 
+def test_kept_documents_against_brute_force(spark, texts):
+    rng = np.random.default_rng(5)
+    rows = [(i, t) for i, t in texts[:60] if t]
+    for i, t in rows[:40]:
+        w = t.split()
+        for k, share in enumerate((0.01, 0.02, 0.04)):  # words changed
+            rows.append((10_000 + i * 10 + k, " ".join("zq%d" % rng.integers(1000) if rng.random() < share else x for x in w).upper()))
+    rows += [(i + 50_000, t) for i, t in rows[:10]] + [(90_000, None), (90_001, ""), (90_002, "one two"), (90_003, "One  two"), (90_004, "one three")]
+    sets = []
+    for _, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    near = np.array([[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets])
+    ids = np.array([i for i, _ in rows])
+    least = ids.copy()
+    for _ in rows:
+        least = np.array([least[x].min() for x in near])
+    bits = [plain_fingerprint(t) for _, t in rows]
+    assert sum((bits[a] ^ bits[b]).bit_count() > 3 for a, b in np.argwhere(near)) > 20  # most are far apart as fingerprints
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(least.tolist()))
+
+
 # --- decontamination -------------------------------------------------------------------------------------------------
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, cut, fresh, pieces, runs, text_of, utf8
 from .components import connected_components
+from .near_copies import near_copies
 
 SEED = 42
 SHINGLE = 3
@@ -224,11 +225,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that are the smallest of their group, with all their columns; exact repeats of a row go.
+    """The documents that are the smallest of their group of near copies, with all their columns; exact repeats of a row go.
 
-    Rows without doc_id stay only if no row of their group has one.
+    Groups are those of near_copies, by exact similarity; fingerprints within few bits miss most near copies of
+    similarity 0.8. Rows without doc_id stay only if no row of their group has one.
     """
     kept, copy = fresh(docs.columns, "_kept"), fresh(docs.columns, "_copy")
-    found = near_duplicates(docs, doc_id, text).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(kept)).distinct()
+    found = near_copies(docs, doc_id, text).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(kept)).distinct()
     own = docs.join(found, F.col(doc_id).cast("long").eqNullSafe(F.col(kept)), "left_semi")
     return own.withColumn(copy, F.xxhash64(text_of(text))).dropDuplicates([doc_id, copy]).drop(copy)
