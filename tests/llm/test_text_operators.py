@@ -218,6 +218,26 @@ def test_edited_items_are_found(spark):
     assert {r.doc_id for r in left.collect()} == {d for d, _ in docs} - {d for d, _ in got}
 
 
+def test_items_with_edited_letters_are_found(spark):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    rng = np.random.default_rng(4)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    docs, truth = [], {}
+    for v, rate in enumerate((0.05, 0.1, 0.13, 0.16, 0.18)):
+        for k, (i, t) in enumerate(items):
+            w = " ".join(re.findall(r"\w+", t.lower()))
+            o = "".join(rng.choice(letters) if rng.random() < rate else c for c in w)
+            text = "Some. " * 30 + o + " and more" * 20
+            docs.append((k * 10 + v, text))
+            if decontaminate.best_distance(w, text.lower().replace(".", "")) <= int(0.2 * len(w) + 1e-9):
+                truth[k * 10 + v, i] = v
+    got = {(r.doc_id, r.item_id) for r in decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got <= set(truth)
+    for v in range(5):
+        own = {x for x, n in truth.items() if n == v}
+        assert len(own) > 20 and len(own & got) >= 0.9 * len(own), v
+
+
 def test_short_items(spark):
     docs = spark.createDataFrame([(1, "x one two three y"), (2, "one three")], "doc_id long, text string")
     got = decontaminate.matches(docs, spark.createDataFrame([(7, "One two, three!")], "item_id long, text string")).collect()

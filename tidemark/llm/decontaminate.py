@@ -6,6 +6,9 @@ into step again after an edit, so a small edit distance becomes a small Hamming
 a locality-sensitive key. A walk of J steps never leaves the first J words, so one embedding of a window serves items
 of every length; sections of an item, from many of its words, are the other side. Windows that meet a section in a
 key and in half of the embedding are compared exactly: the best place for the whole item within the words around.
+
+Edited letters change nearly every word, and items of little words have few keys. So all runs of eight bytes of an
+item are looked up as well: places where enough of them stand about as far apart as in the item are compared, too.
 """
 
 from __future__ import annotations
@@ -18,14 +21,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, fresh, pieces, text_of, utf8
-from .wordhash import mix, words
+from .wordhash import WORD, mix, slice_hashes, words
 
 SIMILARITY = 0.8
 WALKS, STEPS, KEYS, BITS = 3, 16, 4, 3
 SHORT = 8  # items of fewer words are searched for directly in every document, as are those without a good key
+GRAM = 8  # bytes; of random edits of a share x, a share (1 - x) ** 8 of the runs stays whole
+ENOUGH = 0.3  # of that share
 PLAIN = 14  # letters in the different words of a good key; keys of little words meet everywhere
 SECTIONS = 64  # of an item
 BLOCK = 2048  # items that are broadcast at a time
+BLOCK_LETTERS = 4_000_000  # of the items of a block, but for the last one
 _rng = np.random.default_rng(20250)
 _ODD = _rng.integers(0, 1 << 63, (WALKS, STEPS), np.uint64) * np.uint64(2) + np.uint64(1)
 _WEIGHT = _rng.integers(0, 1 << 63, (WALKS * KEYS, BITS), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -129,6 +135,68 @@ class Index:
             bitmap[(key >> np.uint64(44)).astype(np.int64)] = True
             self.tables.append((key, np.array([x[1] for x in own], np.int64), np.array([x[2] for x in own], np.int64), np.array([x[3] for x in own], np.uint64).reshape(-1, STEPS), bitmap))
 
+        self.bytes = np.array([len(t.encode()) for t in self.texts], np.int64)
+        self.step = np.maximum(32, self.bytes // 4)
+        self.enough = np.maximum(2, ENOUGH * similarity**GRAM * self.bytes)
+        direct = set(self.direct)
+        data = np.frombuffer(" ".join(self.texts).encode(), np.uint8)
+        at = np.cumsum(np.concatenate(([0], self.bytes + 1)))
+        place = [np.arange(0 if k in direct else n - GRAM + 1) for k, n in enumerate(self.bytes.tolist())]
+        item = np.repeat(np.arange(len(place)), [len(x) for x in place])
+        place = np.concatenate([*place, np.zeros(0, np.int64)])
+        gram = slice_hashes(data, at[item] + place, at[item] + place + GRAM)
+        order = np.argsort(gram, kind="stable")
+        self.gram, self.gram_item, self.gram_place = gram[order], item[order].astype(np.int32), place[order].astype(np.int32)
+        self.gram_map = np.zeros(1 << 22, bool)
+        self.gram_map[(gram >> np.uint64(42)).astype(np.int64)] = True
+
+    def places(self, flat: np.ndarray, offsets: np.ndarray, chunk: int = 1 << 18) -> list[tuple[int, int, int, int]]:
+        """(row, item, begin, end) of bytes of flat, words joined by spaces, where enough grams of the item are in place."""
+        p = np.arange(max(0, len(flat) - GRAM + 1))
+        if not len(p) or not len(self.gram):
+            return []
+        h = slice_hashes(flat, p, p + GRAM)
+        p = p[self.gram_map[(h >> np.uint64(42)).astype(np.int64)]]
+        row = np.searchsorted(offsets, p, side="right") - 1
+        inside = p + GRAM <= offsets[row + 1]
+        p, row = p[inside], row[inside]
+        a, b = np.searchsorted(self.gram, h[p]), np.searchsorted(self.gram, h[p], side="right")
+        up_to, seen = np.cumsum(b - a), []
+        i = 0
+        while i < len(p):  # a gram that is common in the items meets many of them
+            j = max(i + 1, int(np.searchsorted(up_to, (up_to[i - 1] if i else 0) + chunk)))
+            n = b[i:j] - a[i:j]
+            w = np.repeat(np.arange(i, j), n)
+            t = a[w] + np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)
+            item = self.gram_item[t].astype(np.int64)
+            # moved by one item, so that it isn't negative
+            cell = (p[w] - offsets[row[w]] - self.gram_place[t] + self.bytes[item]) // self.step[item]
+            seen.append(np.unique(np.stack((row[w], item, cell, self.gram_place[t])), axis=1))
+            i = j
+        if not seen:
+            return []
+        seen = np.concatenate(seen, axis=1)
+        seen = seen[:, np.lexsort(seen[::-1])]
+        seen = seen[:3, np.concatenate(([True], (seen[:, 1:] != seen[:, :-1]).any(axis=0)))[: seen.shape[1]]]
+        new = np.flatnonzero(np.concatenate(([True], (seen[:, 1:] != seen[:, :-1]).any(axis=0)))[: seen.shape[1]])
+        count = np.diff(np.append(new, seen.shape[1]))
+        row, item, cell = seen[:, new]
+        # an item that begins near the end of a cell has grams in the next one
+        follows = (row[1:] == row[:-1]) & (item[1:] == item[:-1]) & (cell[1:] == cell[:-1] + 1)
+        both = count.copy()
+        both[:-1] += np.where(follows, count[1:], 0)
+        good = np.flatnonzero(both >= self.enough[item])
+        out: list[tuple[int, int, int, int]] = []
+        for r, k, c in zip(row[good].tolist(), item[good].tolist(), cell[good].tolist()):
+            step, m, first = int(self.step[k]), int(self.bytes[k]), int(offsets[r])
+            begin = max(first, first + c * step - m - 2 * step)
+            end = min(int(offsets[r + 1]), first + (c + 2) * step + 2 * step)
+            if out and out[-1][:2] == (r, k) and begin <= out[-1][2] + 2 * step:
+                out[-1] = (r, k, out[-1][2], end)
+            else:
+                out.append((r, k, begin, end))
+        return out
+
     def candidates(self, hashes: np.ndarray, row: np.ndarray, n: int, chunk: int = 1 << 15) -> set[tuple[int, int, int]]:
         """(row, item, word where the item would begin) of windows that meet a section."""
         symbols, at = padded(hashes, row, n)
@@ -170,6 +238,16 @@ def _search(index: Index, ids: list, data: np.ndarray, offsets: np.ndarray) -> l
         if d <= index.limits[k]:
             found[r, k] = min(d, found.get((r, k), d))
 
+    keep = WORD[data]
+    inner = ends[ends < len(data)]
+    keep[inner[~keep[inner]]] = True
+    at = np.concatenate(([0], np.cumsum(keep)))
+    flat = np.where(WORD[data], data, np.uint8(32))[keep]
+    for r, k, a, b in index.places(flat, at[offsets]):
+        part = flat[a:b].tobytes().decode(errors="ignore")
+        d = best_distance(index.texts[k], part, masks.setdefault(k, letter_masks(index.texts[k])))
+        if d <= index.limits[k]:
+            found[r, k] = min(d, found.get((r, k), d))
     for r, k, begin in sorted(index.candidates(hashes, row, n)):
         if found.get((r, k)) != 0:
             slack = index.sizes[k] // 4 + 8
@@ -191,12 +269,13 @@ def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
     spark = docs.sparkSession
     bound_batches(spark)
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.lower(text_of(text)).alias("text"))
-    block, blocks = [], []
+    block, blocks, letters = [], [], 0
     for r in items.select(F.col(item_id).cast("long"), text_of(item_text)).toLocalIterator():
         block.append((r[0], r[1]))
-        if len(block) == BLOCK:
+        letters += len(r[1])
+        if len(block) == BLOCK or letters >= BLOCK_LETTERS:
             blocks.append(block)
-            block = []
+            block, letters = [], 0
     blocks += [block] if block or not blocks else []
 
     def over(held) -> DataFrame:
