@@ -238,6 +238,20 @@ def test_items_with_edited_letters_are_found(spark):
         assert len(own) > 20 and len(own & got) >= 0.9 * len(own), v
 
 
+def test_items_of_little_words_are_found(spark):
+    rng = np.random.default_rng(6)
+    little = ["a", "of", "to", "in", "it", "is", "by", "on", "an", "as", "we", "he"]
+    items = [(i, " ".join([*rng.choice(little, 14), "moderately", "different", *rng.choice(little, 14)])) for i in range(40)]
+    docs = []
+    for i, t in items:
+        docs += [(i, "so far. " * 5 + t.replace(word, "q" * len(word)) + " and on" * 5) for word in ("different",)]
+        w = [x if k not in (3, 12, 20) else "zz" for k, x in enumerate(t.split())]
+        docs.append((1000 + i, "so far. " * 5 + " ".join(w).replace("moderately", "modaretely") + " and on" * 5))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {(d, d % 1000) for d, t in docs if decontaminate.best_distance(items[d % 1000][1], t.replace(".", "")) <= int(0.2 * len(items[d % 1000][1]) + 1e-9)}
+    assert len(want) > 70 and len(want & got) >= 0.97 * len(want)
+
+
 def test_short_items(spark):
     docs = spark.createDataFrame([(1, "x one two three y"), (2, "one three")], "doc_id long, text string")
     got = decontaminate.matches(docs, spark.createDataFrame([(7, "One two, three!")], "item_id long, text string")).collect()

@@ -26,6 +26,7 @@ from .wordhash import WORD, mix, slice_hashes, words
 SIMILARITY = 0.8
 WALKS, STEPS, KEYS, BITS = 3, 16, 4, 3
 SHORT = 8  # items of fewer words are searched for directly in every document, as are those without a good key
+BRIEF = 64  # and those of fewer bytes, which edits can leave without a whole gram
 GRAM = 8  # bytes; of random edits of a share x, a share (1 - x) ** 8 of the runs stays whole
 ENOUGH = 0.3  # of that share
 PLAIN = 14  # letters in the different words of a good key; keys of little words meet everywhere
@@ -107,7 +108,7 @@ class Index:
             self.ids.append(item_id)
             self.texts.append(" ".join(raw[a:b].decode() for a, b in zip(s.tolist(), e.tolist())))
             self.sizes.append(len(h))
-            if len(h) < SHORT:
+            if len(h) < SHORT or len(self.texts[k].encode()) < BRIEF:
                 self.direct.append(k)
                 continue
             length = dict(zip(h.tolist(), (e - s).tolist()))
