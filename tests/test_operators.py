@@ -126,3 +126,16 @@ def test_synonyms(spark):
     rows = [("INFO", "s", f"open {'authn' if i % 3 == 0 else 'authentication'} gateway channel ready") for i in range(60)]
     got = {r["word"]: r["meaning"] for r in learned.synonyms(lines(spark, rows), 60).collect()}
     assert got.get("authn") == "authentication"
+
+
+def test_neighbours_of_every_vector(spark, tmp_path):
+    import numpy as np
+
+    from tidemark.plans import catalog
+
+    v = np.random.default_rng(8).random((5300, 3))
+    spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.id: r.kdist for r in catalog.QUERIES["neighbours_embeddings"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(v)
+    for i in range(0, len(v), 50):
+        assert abs(got[i] - np.sort(np.sqrt(((v - v[i]) ** 2).sum(axis=1)))[4]) < 1e-5

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,6 +68,31 @@ def neighbour_distances(points: DataFrame, k: int = 4, sample: int = 5000, block
     return pairs.withColumn("nth", nth).filter(F.col("nth") == k + 1).select("id", F.sqrt("d2").alias("kdist"))
 
 
+def all_neighbour_distances(points: DataFrame, k: int = 4, rows: int = 2048) -> DataFrame:
+    """(id, kdist) of every point: the distance to the k-th other point; none where there are fewer. All pairs are
+    looked at, block by block; of each pair of blocks only the k + 1 nearest of a point are passed on.
+    """
+    blocks = max(1, -(-points.count() // rows))
+    own = points.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("x"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = own.withColumn("y", every)
+    right = own.select("v", F.col("x").alias("y")).withColumn("x", every)
+
+    def nearest(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return pa.table({"id": pa.array([], pa.int64()), "d2": pa.array([], pa.float64())})
+        p, q = (np.array(t.column("v").to_pylist(), np.float64) for t in (a, b))
+        most, out = min(k + 1, len(q)), []
+        for i in range(0, len(p), 32):
+            d2 = ((p[i : i + 32, None, :] - q[None]) ** 2).sum(axis=2)
+            out.append(np.partition(d2, most - 1, axis=1)[:, :most])
+        return pa.table({"id": np.repeat(a.column("id").to_numpy(), most), "d2": np.concatenate(out).ravel()})
+
+    near = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInArrow(nearest, "id long, d2 double")
+    nth = near.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("d2")))
+    return nth.filter(F.col("nth") == k + 1).select("id", F.sqrt("d2").alias("kdist"))
+
+
 def knee(distances: DataFrame, low: float = 0.15, high: float = 0.90) -> DataFrame:
     """(eps): the sorted distance that is furthest from the chord between the first and the last."""
     up = Window.orderBy("kdist", "id")

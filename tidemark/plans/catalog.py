@@ -566,7 +566,7 @@ def tfidf_benchmark(spark, sf_dir):
     SELECT id, round(sqrt(d2), 5) AS kdist FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, id2 <> id, id2) AS rn FROM p) WHERE rn = 5""")
 def neighbours_embeddings(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
-    return vectors.neighbour_distances(e).withColumn("kdist", F.round("kdist", 5))
+    return vectors.all_neighbour_distances(e).withColumn("kdist", F.round("kdist", 5))
 
 
 @query()
