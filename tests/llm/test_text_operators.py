@@ -252,6 +252,75 @@ def test_items_of_little_words_are_found(spark):
     assert len(want) > 70 and len(want & got) >= 0.97 * len(want)
 
 
+def edited(rng, text, kind, rate):
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    if kind == "words":
+        return " ".join(x if rng.random() > rate else "".join(rng.choice(letters, len(x))) for x in text.split())
+    out = []
+    for c in text:
+        how = kind if kind != "mixed" else ("replaced", "dropped", "added")[rng.integers(3)]
+        hit = rng.random() < rate
+        out += [c] if not hit else [rng.choice(letters)] if how == "replaced" else [rng.choice(letters), c] if how == "added" else []
+    return "".join(out)
+
+
+def test_recall_of_all_kinds_of_edits(spark):
+    rng = np.random.default_rng(8)
+    plain = lambda t: " ".join(x.decode() for x in re.findall(rb"[0-9a-z\x80-\xff]+", t.lower().encode()))
+    long = [(r.item_id, plain(r.text)) for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()]
+    items = long + [(1000 * n + i, " ".join(t.split()[:n])) for n in (1, 2, 4, 7) for i, t in long[:15]]
+    docs, truth = [], {}
+    for kind in ("replaced", "dropped", "added", "mixed", "words"):
+        for rate in (0.0, 0.1, 0.18):
+            for i, t in items:
+                text = "some. " * 20 + edited(rng, t, kind, rate) + " and more" * 15
+                if t and decontaminate.best_distance(t, plain(text)) <= int(0.2 * len(t) + 1e-9):
+                    truth[len(docs), i] = kind, rate, i >= 1000
+                docs.append((len(docs), text))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    by = {}
+    for pair, what in truth.items():
+        by.setdefault(what, []).append(pair in got)
+    assert all(all(found) for (_, rate, _), found in by.items() if not rate)  # exact ones, brief ones too
+    assert all(np.mean(found) >= 0.9 for found in by.values() if len(found) >= 10), {k: np.mean(v) for k, v in by.items()}
+    texts = dict(docs)
+    wrong = [(d, i) for d, i in got if decontaminate.best_distance(dict(items)[i], plain(texts[d])) > int(0.2 * len(dict(items)[i]) + 1e-9)]
+    assert not wrong
+
+
+def test_keys_are_those_of_a_plain_walk():
+    rng = np.random.default_rng(0)
+    x = rng.choice(np.frombuffer(b"abcdef  ", np.uint8), 2 * decontaminate.CHUNK + 77)
+    for steps in (24, 5, 1):
+        found, ahead = decontaminate.keys(x, steps)
+        padded = np.concatenate((x, np.zeros(steps + 1, np.uint8)))
+        for i in (0, 3, decontaminate.CHUNK - 1, decontaminate.CHUNK, len(x) - 9, len(x) - 1):
+            for k in range(decontaminate.SAMPLES):
+                total, p, last = 0, i, i
+                for j in range(steps):
+                    sign, last = int(decontaminate._SIGN[padded[p]]), p
+                    total += sign * int(decontaminate._ODD[k, j]) if decontaminate._SAMPLED[steps][k, j] else 0
+                    p += sign >> j & 1
+                assert found[k][i] == decontaminate._mixed(np.array([total & 0xFFFFFFFF], np.uint32))[0]
+            if i > len(x) - 20:
+                assert ahead[i] == last - i
+
+
+def test_odd_rows_without_items(spark, odd):
+    item = "the quick brown fox jumps over a lazy dog near the river bank"
+    items = spark.createDataFrame([(1, item), (1, item), (2, None), (3, ""), (None, "..."), (None, item)], "item_id long, text string")
+    assert decontaminate.clean(odd, items).columns == odd.columns and decontaminate.clean(odd, items).count() == len(ODD)
+    rows = spark.createDataFrame([(None, "x " + item), (None, "clean"), (4, item.upper()), (4, "clean"), (4, item.upper())], "doc_id long, text string").withColumn("_found", F.lit(1)).withColumn("t", F.lit(2)).withColumn("node", F.lit(3))
+    left = decontaminate.clean(rows, items)
+    assert left.columns == rows.columns and sorted((r.doc_id or 0, r.text) for r in left.collect()) == [(0, "clean"), (4, "clean")]
+    got = sorted((r.doc_id or 0, r.item_id or 0, r.distance) for r in decontaminate.matches(rows, items.withColumn("body", F.lit(1))).collect())
+    assert got == sorted((d, i, 0) for d in (0, 4, 4) for i in (1, 1, 0))
+    for a, b in ((rows.limit(0), items), (rows, items.limit(0))):
+        assert decontaminate.matches(a, b).count() == 0 and decontaminate.clean(a, b).count() == a.count()
+    wordy = spark.createDataFrame([(1, "so it goes on " * 60000 + item + " and on" * 60000)], "doc_id long, text string")
+    assert decontaminate.clean(wordy, items).count() == 0
+
+
 def test_short_items(spark):
     docs = spark.createDataFrame([(1, "x one two three y"), (2, "one three")], "doc_id long, text string")
     got = decontaminate.matches(docs, spark.createDataFrame([(7, "One two, three!")], "item_id long, text string")).collect()

@@ -39,6 +39,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def bounded(df: DataFrame, rows: int = 1 << 18) -> DataFrame:
+    """df, marked for broadcast if it has at most so many rows; else the planner chooses. df is read to count it."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A path for files of one run within the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -1,67 +1,107 @@
 """Documents that contain benchmark items, up to a fifth of an item's characters edited.
 
-Windows of words, one from every word of a document, are embedded by a CGK walk: at each step the current word is
-written, and the walk stays or moves on as a random bit of step and word says. Walks over nearly equal windows fall
-into step again after an edit, so a small edit distance becomes a small Hamming distance, and a few sampled steps are
-a locality-sensitive key. A walk of J steps never leaves the first J words, so one embedding of a window serves items
-of every length; sections of an item, from many of its words, are the other side. Windows that meet a section in a
-key and in half of the embedding are compared exactly: the best place for the whole item within the words around.
-
-Edited letters change nearly every word, and items of little words have few keys. So all runs of eight bytes of an
-item are looked up as well: places where enough of them stand about as far apart as in the item are compared, too.
+A CGK walk reads a text from some place on: at each step the current letter is written, and the walk stays or moves on
+as a random bit of step and letter says. Walks over nearly equal texts fall into step again after an edit, so a small
+edit distance becomes a small Hamming distance, and a few sampled steps are a locality-sensitive key. Far into a long
+item many edits would add up, so the walk starts afresh at every letter: the embedding of an item-sized window is that
+of all walks which begin in it, and each of them gives a key for each sample of steps.
+
+Items keep a fixed number of their keys, the rarest among all items. Documents look up the keys of all their places in
+a bitmap of bounded size; what meets is joined by key, and windows about as long as the item in which enough different
+keys stand in place are compared exactly: the best place for the whole item among the letters there.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, fresh, pieces, text_of, utf8
-from .wordhash import WORD, mix, slice_hashes, words
+from .common import bound_batches, bounded, cut, fresh, pieces, runs, text_of, utf8
+from .wordhash import WORD
 
 SIMILARITY = 0.8
-WALKS, STEPS, KEYS, BITS = 3, 16, 4, 3
-SHORT = 8  # items of fewer words are searched for directly in every document, as are those without a good key
-BRIEF = 64  # and those of fewer bytes, which edits can leave without a whole gram
-GRAM = 8  # bytes; of random edits of a share x, a share (1 - x) ** 8 of the runs stays whole
-ENOUGH = 0.3  # of that share
-PLAIN = 14  # letters in the different words of a good key; keys of little words meet everywhere
-SECTIONS = 64  # of an item
-BLOCK = 2048  # items that are broadcast at a time
-BLOCK_LETTERS = 4_000_000  # of the items of a block, but for the last one
+SAMPLES = 2  # of the steps of a walk
+KEYS = 36  # that an item keeps, for each sample
+VOTES = 3  # different keys of an item in place, or a sixteenth of what it keeps
+SCALES = ((40, 24), (16, 10), (8, 5), (5, 3), (4, 4), (3, 3), (2, 2), (1, 1))  # least letters of an item, steps of its walks
+MAP_BITS = 24  # a bitmap has at most two to the power of this many places
+CHUNK = 1 << 14  # letters embedded at a time
 _rng = np.random.default_rng(20250)
-_ODD = _rng.integers(0, 1 << 63, (WALKS, STEPS), np.uint64) * np.uint64(2) + np.uint64(1)
-_WEIGHT = _rng.integers(0, 1 << 63, (WALKS * KEYS, BITS), np.uint64) * np.uint64(2) + np.uint64(1)
-# the first key of each walk needs half the steps only, for short items
-_PICK = [np.sort(_rng.choice(STEPS // 2 if k == 0 else STEPS, BITS, replace=False)) for _ in range(WALKS) for k in range(KEYS)]
-
-
-def embed(symbols: np.ndarray, at: np.ndarray, walk: int) -> np.ndarray:
-    """CGK embeddings (STEPS x windows). STEPS zeros must follow the last word of each text in symbols."""
-    out, at = np.empty((STEPS, len(at)), np.uint64), at.copy()
-    for j in range(STEPS):
-        out[j] = symbols[at]
-        at += ((out[j] * _ODD[walk, j]) >> np.uint64(63)).astype(np.int64)
+_SIGN = _rng.integers(0, 1 << 32, 256, np.uint32)
+_ODD = _rng.integers(0, 1 << 31, (SAMPLES, 32), np.uint32) * np.uint32(2) + np.uint32(1)
+
+
+def _sampled(steps: int) -> np.ndarray:
+    """Whether a sample has a step: half of the steps of long walks, all of short ones."""
+    out = np.ones((SAMPLES, steps), bool)
+    if steps > 8:
+        rng = np.random.default_rng(steps)
+        for sample in out:
+            sample[rng.choice(steps, steps // 2, replace=False)] = False
     return out
 
 
-def keys(embedded: np.ndarray, which: int) -> np.ndarray:
-    total = np.zeros(embedded.shape[1], np.uint64)
-    for weight, j in zip(_WEIGHT[which], _PICK[which]):
-        total += embedded[j] * weight
-    return mix(total)
+_SAMPLED = {steps: _sampled(steps) for _, steps in SCALES}
+
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint32(16))) * np.uint32(0x7FEB352D)
+    x = (x ^ (x >> np.uint32(15))) * np.uint32(0x846CA68B)
+    return x ^ (x >> np.uint32(16))
 
-def padded(hashes: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes with STEPS zeros after each text, and the place of each word in them."""
-    at = np.arange(len(hashes)) + row * STEPS
-    symbols = np.zeros(len(hashes) + n * STEPS + 1, np.uint64)
-    symbols[at] = hashes
-    return symbols, at
+
+def keys(text: np.ndarray, steps: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each sample the key of the walk from every byte of text, and how many bytes further its last step reads.
+
+    The walk is taken backwards: what it writes from step j on depends on the byte and on the rest of the walk from
+    there or from the next byte. Beyond the end there are zeros.
+    """
+    n = len(text)
+    totals, ahead = [np.empty(n, np.uint32) for _ in range(SAMPLES)], np.empty(n, np.uint8)
+    text = np.concatenate((text, np.zeros(steps + 1, np.uint8)))
+    sampled = _SAMPLED[steps]
+    for i in range(0, n, CHUNK):
+        m = min(CHUNK, n - i)
+        sign = _SIGN[text[i : i + m + steps]]
+        rest = [np.zeros(m + steps + 1, np.uint32) for _ in range(SAMPLES)]
+        moved = np.zeros(m + steps + 1, np.uint8)
+        for j in range(steps - 1, -1, -1):
+            w = m + j
+            moves = (sign[:w] << np.uint32(31 - j)).view(np.int32) >> np.int32(31)
+            goes = moves.view(np.uint32)
+            for k in range(SAMPLES):
+                stay, go = rest[k][:w], rest[k][1 : w + 1]
+                new = stay ^ ((stay ^ go) & goes)
+                if sampled[k, j]:
+                    new += sign[:w] * _ODD[k, j]
+                rest[k] = new
+            if j < steps - 1 and i + m >= n - steps:  # elsewhere no walk reaches the end
+                moved = np.where(moves, moved[1 : w + 1] + np.uint8(1), moved[:w])
+            else:
+                moved = moved[:w]
+        for k in range(SAMPLES):
+            totals[k][i : i + m] = _mixed(rest[k][:m])
+        ahead[i : i + m] = moved[:m]
+    return totals, ahead
+
+
+def normal(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of each row, a space after each; what stands between words is dropped."""
+    word = WORD[data]
+    _, ends, _ = runs(word, offsets)
+    flat = np.where(word, data, np.uint8(32))
+    size = np.ones(len(data), np.int64) * word
+    last = ends - 1  # a space is written after the last byte of a word
+    size[last] = 2
+    at = np.concatenate(([0], np.cumsum(size)))
+    out = np.repeat(flat, size)
+    out[at[last] + 1] = 32
+    return out, at[offsets]
 
 
 def best_distance(item: str, text: str, masks: dict[str, int] | None = None) -> int:
@@ -92,171 +132,175 @@ def letter_masks(item: str) -> dict[str, int]:
     return masks
 
 
-class Index:
-    """Sections of a block of items by key; its size is bounded by BLOCK and SECTIONS."""
-
-    def __init__(self, items: list[tuple[int, str]], similarity: float):
-        self.ids, self.texts, self.sizes, self.direct = [], [], [], []
-        found = []
-        for item_id, text in items:
-            data = np.frombuffer(text.lower().encode(), np.uint8)
-            h, s, e, _ = words(data, np.array([0, len(data)]))
-            if not len(h):
-                continue
-            raw = data.tobytes()
-            k = len(self.ids)
-            self.ids.append(item_id)
-            self.texts.append(" ".join(raw[a:b].decode() for a, b in zip(s.tolist(), e.tolist())))
-            self.sizes.append(len(h))
-            if len(h) < SHORT or len(self.texts[k].encode()) < BRIEF:
-                self.direct.append(k)
-                continue
-            length = dict(zip(h.tolist(), (e - s).tolist()))
-            symbols = np.concatenate((h, np.zeros(STEPS, np.uint64)))
-            room = STEPS if len(h) >= 2 * STEPS else STEPS // 2
-            places = np.unique(np.linspace(0, len(h) - room, min(SECTIONS, len(h) - room + 1)).astype(np.int64))
-            for walk in range(WALKS):
-                out = embed(symbols, places, walk)
-                for n in range(KEYS):
-                    which = walk * KEYS + n
-                    if _PICK[which].max() >= room:
-                        continue
-                    for c, (key, o) in enumerate(zip(keys(out, which).tolist(), places.tolist())):
-                        seen = set(out[_PICK[which], c].tolist())
-                        if len(seen) == BITS and sum(length[x] for x in seen) >= PLAIN:
-                            found.append((which, key, k, o, tuple(out[:, c].tolist())))
-            if not any(x[2] == k for x in found[-len(places) * WALKS * KEYS :]):
-                self.direct.append(k)
-        self.limits = [int((1 - similarity) * len(t) + 1e-9) for t in self.texts]
-        self.tables = []
-        for which in range(WALKS * KEYS):
-            own = sorted(x[1:] for x in found if x[0] == which)
-            key = np.array([x[0] for x in own], np.uint64)
-            bitmap = np.zeros(1 << 20, bool)
-            bitmap[(key >> np.uint64(44)).astype(np.int64)] = True
-            self.tables.append((key, np.array([x[1] for x in own], np.int64), np.array([x[2] for x in own], np.int64), np.array([x[3] for x in own], np.uint64).reshape(-1, STEPS), bitmap))
-
-        self.bytes = np.array([len(t.encode()) for t in self.texts], np.int64)
-        self.step = np.maximum(32, self.bytes // 4)
-        self.enough = np.maximum(2, ENOUGH * similarity**GRAM * self.bytes)
-        direct = set(self.direct)
-        data = np.frombuffer(" ".join(self.texts).encode(), np.uint8)
-        at = np.cumsum(np.concatenate(([0], self.bytes + 1)))
-        place = [np.arange(0 if k in direct else n - GRAM + 1) for k, n in enumerate(self.bytes.tolist())]
-        item = np.repeat(np.arange(len(place)), [len(x) for x in place])
-        place = np.concatenate([*place, np.zeros(0, np.int64)])
-        gram = slice_hashes(data, at[item] + place, at[item] + place + GRAM)
-        order = np.argsort(gram, kind="stable")
-        self.gram, self.gram_item, self.gram_place = gram[order], item[order].astype(np.int32), place[order].astype(np.int32)
-        self.gram_map = np.zeros(1 << 22, bool)
-        self.gram_map[(gram >> np.uint64(42)).astype(np.int64)] = True
-
-    def places(self, flat: np.ndarray, offsets: np.ndarray, chunk: int = 1 << 18) -> list[tuple[int, int, int, int]]:
-        """(row, item, begin, end) of bytes of flat, words joined by spaces, where enough grams of the item are in place."""
-        p = np.arange(max(0, len(flat) - GRAM + 1))
-        if not len(p) or not len(self.gram):
-            return []
-        h = slice_hashes(flat, p, p + GRAM)
-        p = p[self.gram_map[(h >> np.uint64(42)).astype(np.int64)]]
-        row = np.searchsorted(offsets, p, side="right") - 1
-        inside = p + GRAM <= offsets[row + 1]
-        p, row = p[inside], row[inside]
-        a, b = np.searchsorted(self.gram, h[p]), np.searchsorted(self.gram, h[p], side="right")
-        up_to, seen = np.cumsum(b - a), []
-        i = 0
-        while i < len(p):  # a gram that is common in the items meets many of them
-            j = max(i + 1, int(np.searchsorted(up_to, (up_to[i - 1] if i else 0) + chunk)))
-            n = b[i:j] - a[i:j]
-            w = np.repeat(np.arange(i, j), n)
-            t = a[w] + np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)
-            item = self.gram_item[t].astype(np.int64)
-            # moved by one item, so that it isn't negative
-            cell = (p[w] - offsets[row[w]] - self.gram_place[t] + self.bytes[item]) // self.step[item]
-            seen.append(np.unique(np.stack((row[w], item, cell, self.gram_place[t])), axis=1))
-            i = j
-        if not seen:
-            return []
-        seen = np.concatenate(seen, axis=1)
-        seen = seen[:, np.lexsort(seen[::-1])]
-        seen = seen[:3, np.concatenate(([True], (seen[:, 1:] != seen[:, :-1]).any(axis=0)))[: seen.shape[1]]]
-        new = np.flatnonzero(np.concatenate(([True], (seen[:, 1:] != seen[:, :-1]).any(axis=0)))[: seen.shape[1]])
-        count = np.diff(np.append(new, seen.shape[1]))
-        row, item, cell = seen[:, new]
-        # an item that begins near the end of a cell has grams in the next one
-        follows = (row[1:] == row[:-1]) & (item[1:] == item[:-1]) & (cell[1:] == cell[:-1] + 1)
-        both = count.copy()
-        both[:-1] += np.where(follows, count[1:], 0)
-        good = np.flatnonzero(both >= self.enough[item])
-        out: list[tuple[int, int, int, int]] = []
-        for r, k, c in zip(row[good].tolist(), item[good].tolist(), cell[good].tolist()):
-            step, m, first = int(self.step[k]), int(self.bytes[k]), int(offsets[r])
-            begin = max(first, first + c * step - m - 2 * step)
-            end = min(int(offsets[r + 1]), first + (c + 2) * step + 2 * step)
-            if out and out[-1][:2] == (r, k) and begin <= out[-1][2] + 2 * step:
-                out[-1] = (r, k, out[-1][2], end)
-            else:
-                out.append((r, k, begin, end))
-        return out
-
-    def candidates(self, hashes: np.ndarray, row: np.ndarray, n: int, chunk: int = 1 << 15) -> set[tuple[int, int, int]]:
-        """(row, item, word where the item would begin) of windows that meet a section."""
-        symbols, at = padded(hashes, row, n)
-        first = np.searchsorted(row, np.arange(n))
-        out: set[tuple[int, int, int]] = set()
-        for i in range(0, len(at), chunk):
-            for walk in range(WALKS):
-                embedded = embed(symbols, at[i : i + chunk], walk)
-                for which in range(walk * KEYS, (walk + 1) * KEYS):
-                    table, item, section, sketch, bitmap = self.tables[which]
-                    key = keys(embedded, which)
-                    w = np.flatnonzero(bitmap[(key >> np.uint64(44)).astype(np.int64)])
-                    if not len(w) or not len(table):
-                        continue
-                    a, b = np.searchsorted(table, key[w]), np.searchsorted(table, key[w], side="right")
-                    w, a, count = np.repeat(w, b - a), np.repeat(a, b - a), np.repeat(b - a, b - a)
-                    if not len(w):
-                        continue
-                    nth = np.arange(len(w)) - np.searchsorted(w, w)
-                    t = a + nth % np.maximum(count, 1)
-                    same = (embedded[:, w].T == sketch[t]).sum(axis=1)
-                    ok = same >= np.where(np.array(self.sizes)[item[t]] >= 2 * STEPS, STEPS * 3 // 8, STEPS // 4)
-                    r = row[i + w[ok]]
-                    begin = i + w[ok] - first[r] - section[t[ok]]
-                    out.update(zip(r.tolist(), item[t[ok]].tolist(), (begin // 4).tolist()))
-        return out
-
-
-def _search(index: Index, ids: list, data: np.ndarray, offsets: np.ndarray) -> list[tuple]:
-    n = len(ids)
-    hashes, starts, ends, row = words(data, offsets)
-    raw, first, found = data.tobytes(), np.searchsorted(row, np.arange(n + 1)), {}
-    masks: dict[int, dict] = {}
-
-    def look(r: int, k: int, a: int, b: int) -> None:
-        a, b = max(first[r], a), min(first[r + 1], b)
-        part = " ".join(raw[s:e].decode(errors="replace") for s, e in zip(starts[a:b].tolist(), ends[a:b].tolist()))
-        d = best_distance(index.texts[k], part, masks.setdefault(k, letter_masks(index.texts[k])))
-        if d <= index.limits[k]:
-            found[r, k] = min(d, found.get((r, k), d))
-
-    keep = WORD[data]
-    inner = ends[ends < len(data)]
-    keep[inner[~keep[inner]]] = True
-    at = np.concatenate(([0], np.cumsum(keep)))
-    flat = np.where(WORD[data], data, np.uint8(32))[keep]
-    for r, k, a, b in index.places(flat, at[offsets]):
-        part = flat[a:b].tobytes().decode(errors="ignore")
-        d = best_distance(index.texts[k], part, masks.setdefault(k, letter_masks(index.texts[k])))
-        if d <= index.limits[k]:
-            found[r, k] = min(d, found.get((r, k), d))
-    for r, k, begin in sorted(index.candidates(hashes, row, n)):
-        if found.get((r, k)) != 0:
-            slack = index.sizes[k] // 4 + 8
-            look(r, k, first[r] + begin * 4 - slack, first[r] + begin * 4 + index.sizes[k] + slack)
-    for k in index.direct:
-        for r in range(n):
-            look(r, k, first[r], first[r + 1])
-    return [(ids[r], index.ids[k], d, 1 - d / len(index.texts[k])) for (r, k), d in sorted(found.items())]
+def _scale(size: int) -> int:
+    return next(k for k, (least, _) in enumerate(SCALES) if size >= least)
+
+
+def _map(df: DataFrame, schema: str, of) -> DataFrame:
+    """mapInArrow with of(batch), which yields lists of columns."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for columns in of(batch):
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return df.mapInArrow(run, schema)
+
+
+def _bodies(items: DataFrame, item_id: str, text: str) -> DataFrame:
+    """(item_id, node, body) of the items that have words; node is a digest of the body."""
+
+    def of(batch):
+        data, offsets = utf8(batch.column(1))
+        for a, b in pieces(offsets, 1 << 20):
+            flat, at = normal(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            raw = flat.tobytes()
+            yield [batch.column(0).slice(a, b - a), pa.array([raw[x : max(x, y - 1)].decode(errors="replace") for x, y in zip(at.tolist(), at[1:].tolist())], pa.string())]
+
+    source = items.select(F.col(item_id).cast("long").alias("item_id"), F.lower(text_of(text)).alias("text"))
+    return _map(source, "item_id long, body string", of).filter("body <> ''").withColumn("node", F.unhex(F.md5("body")))
+
+
+def _picked(bodies: DataFrame) -> DataFrame:
+    """(key, node, place, size, need): the rarest keys of each body; need is how many must be in place."""
+
+    def of(batch):
+        for node, body in zip(batch.column(0), batch.column(1)):
+            x = np.frombuffer(body.as_py().encode(), np.uint8)
+            scale = _scale(len(x))
+            totals, ahead = keys(x, SCALES[scale][1])
+            inside = np.flatnonzero(np.arange(len(x)) + ahead < len(x))
+            for k, total in enumerate(totals):
+                key = total[inside].astype(np.int64) + ((scale * SAMPLES + k) << 32)
+                yield [pa.array(key), pa.array([node.as_py()] * len(inside), pa.binary()), pa.array(inside.astype(np.int32)), pa.array(np.full(len(inside), len(x), np.int32))]
+
+    every = cut(_map(bodies, "key long, node binary, place int, size int", of))
+    often = cut(every.groupBy("key").agg(F.count_distinct("node").alias("items")))
+    order = Window.partitionBy("node", F.shiftright("key", 32)).orderBy("items", F.xxhash64("key"), "place")
+    first = every.join(often, "key").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= KEYS)
+    kept = F.count("*").over(Window.partitionBy("node"))
+    # items of less than five letters bear no edit
+    need = F.when(F.col("size") < 5, F.lit(1)).otherwise(F.greatest(F.lit(1), F.least(F.lit(VOTES), F.ceil(kept / 16)))).cast("int")
+    return cut(first.select("key", "node", "place", "size", need.alias("need")))
+
+
+def _bitmaps(picked: DataFrame) -> tuple[int, dict[int, np.ndarray]]:
+    """Bits of each table of keys (scale and sample), as bytes; its places are the upper bits of the keys there."""
+    table, low = F.shiftright("key", 32), F.col("key").bitwiseAND(F.lit((1 << 32) - 1))
+    most = max((r["count"] for r in picked.groupBy(table.alias("t")).count().collect()), default=0)
+    bits = min(MAP_BITS, max(16, math.ceil(math.log2(16 * most + 1))))
+    slot = F.shiftright(low, 32 - bits) + 1
+    found = picked.groupBy(table.alias("t"), F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
+    out: dict[int, np.ndarray] = {}
+    for r in found:
+        whole = out.setdefault(r["t"], np.zeros((1 << bits) // 8, np.uint8))
+        own = np.frombuffer(r["bits"], np.uint8)
+        begin = (r["b"] - 1) * len(own)
+        whole[begin : begin + len(own)] = own[: len(whole) - begin]
+    return bits, out
+
+
+def _hits(source: DataFrame, picked: DataFrame) -> DataFrame:
+    """(t, key, at): places of documents, t being the digest of their text, where an item's key may be."""
+    bits, maps = _bitmaps(picked)
+    held = source.sparkSession.sparkContext.broadcast(maps)
+    wide: dict[int, np.ndarray] = {}
+
+    def of(batch):
+        if not wide:
+            wide.update((t, np.unpackbits(x, bitorder="little").astype(bool)) for t, x in held.value.items())
+        data, offsets = utf8(batch.column(1))
+        for a, b in pieces(offsets, 1 << 20):
+            flat, begin = normal(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            digests = batch.column(0).slice(a, b - a)
+            for scale in sorted({t // SAMPLES for t in wide}):
+                for k, total in enumerate(keys(flat, SCALES[scale][1])[0]):
+                    t = scale * SAMPLES + k
+                    if t in wide:
+                        p = np.flatnonzero(wide[t][total >> np.uint32(32 - bits)])
+                        row = np.searchsorted(begin, p, side="right") - 1
+                        yield [digests.take(pa.array(row)), pa.array(total[p].astype(np.int64) + (t << 32)), pa.array((p - begin[row]).astype(np.int32))]
+
+    return _map(source.select("t", "text"), "t binary, key long, at int", of)
+
+
+def _step(size):
+    """Half of a window in which the keys of an item must be."""
+    return F.greatest(F.lit(16), F.floor(size / 4)) if isinstance(size, Column) else max(16, size // 4)
+
+
+def _windows(texts: DataFrame) -> DataFrame:
+    """(t, node, part): the letters around each window. texts: (t, text, windows)."""
+
+    def of(batch):
+        data, offsets = utf8(batch.column(1))
+        for a, b in pieces(offsets, 1 << 20):
+            flat, begin = normal(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            out: tuple[list, list, list] = ([], [], [])
+            for r in range(a, b):
+                first, end = int(begin[r - a]), int(begin[r - a + 1])
+                places: dict[bytes, list] = {}
+                for w in batch.column(2)[r].as_py():
+                    size, step = w["size"], _step(w["size"])
+                    slack = size // 4 + 8
+                    x = first + w["cell"] * step - size - slack
+                    y = x + 2 * step + size + 2 * slack
+                    own = places.setdefault(w["node"], [])
+                    if own and x <= own[-1][1]:
+                        own[-1][1] = y
+                    else:
+                        own.append([x, y])
+                for node, found in places.items():
+                    for x, y in found:
+                        out[0].append(batch.column(0)[r].as_py())
+                        out[1].append(node)
+                        out[2].append(flat[max(first, x) : max(first, min(end, y))].tobytes().decode(errors="ignore"))
+            yield [pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.string())]
+
+    return _map(texts, "t binary, node binary, part string", of)
+
+
+def _compared(parts: DataFrame, similarity: float) -> DataFrame:
+    """(t, node, distance, similarity) of the parts that are near enough. parts: (t, node, part, body)."""
+
+    def of(batch):
+        good, found, alike = [], [], []
+        masks: tuple[str, dict] = ("", {})
+        for i, (part, body) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+            if masks[0] != body:
+                masks = body, letter_masks(body)
+            d = best_distance(body, part, masks[1])
+            if d <= int((1 - similarity) * len(body) + 1e-9):
+                good.append(i)
+                found.append(d)
+                alike.append(1 - d / len(body))
+        rows = batch.take(pa.array(good, pa.int64()))
+        yield [rows.column(0), rows.column(1), pa.array(found, pa.int64()), pa.array(alike, pa.float64())]
+
+    return _map(parts.select("t", "node", "part", "body"), "t binary, node binary, distance long, similarity double", of)
+
+
+def _digest(text: str) -> Column:
+    return F.unhex(F.md5(F.lower(text_of(text))))
+
+
+def _contained(docs: DataFrame, known: DataFrame, text: str, similarity: float) -> DataFrame:
+    """(t, node, distance, similarity): which item is in which text, t being the digest of the text."""
+    bound_batches(docs.sparkSession)
+    bodies = cut(known.select("node", "body").dropDuplicates(["node"]))
+    picked = _picked(bodies)
+    source = docs.select(_digest(text).alias("t"), F.lower(text_of(text)).alias("text"))
+    met = _hits(source, picked).join(picked, "key")
+    cell = F.floor((F.col("at") - F.col("place") + F.col("size")) / _step(F.col("size"))).cast("int")
+    seen = met.select("t", "node", "size", "need", F.explode(F.array(cell - 1, cell)).alias("cell"), F.shiftleft("place", 1).bitwiseOR(F.shiftright("key", 32).bitwiseAND(F.lit(1)).cast("int")).alias("vote"))
+    enough = cut(seen.groupBy("t", "node", "cell", "size", "need").agg(F.size(F.collect_set("vote")).alias("votes")).filter("votes >= need").select("t", "node", "cell", "size"))
+    windows = cut(enough.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("node", "cell", "size"))).alias("windows")))
+    texts = source.join(bounded(windows.select("t")), "t", "left_semi").dropDuplicates(["t"])
+    parts = _windows(texts.join(windows, "t").select("t", "text", "windows"))
+    found = _compared(parts.join(bodies, "node"), similarity)
+    best = F.min_by(F.struct("distance", "similarity"), "distance").alias("b")
+    return cut(found.groupBy("t", "node").agg(best).select("t", "node", "b.*"))
 
 
 def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -265,43 +309,19 @@ def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
     Both sides are compared in lower case, words (letters and digits) joined by one space; distance is the least edit
     distance between the item and a part of the document, similarity is 1 - distance / length of the item. Items
     without words and null items match nothing, null and empty documents contain nothing; repeated rows and items
-    each get their results. The items go out in blocks of a bounded number; documents aren't shuffled.
+    each get their results; null ids stay null. An empty table on either side gives no rows, other columns don't
+    matter. Items of less than 40 bytes have short keys that many places share; they are dear, but not left out.
     """
-    spark = docs.sparkSession
-    bound_batches(spark)
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.lower(text_of(text)).alias("text"))
-    block, blocks, letters = [], [], 0
-    for r in items.select(F.col(item_id).cast("long"), text_of(item_text)).toLocalIterator():
-        block.append((r[0], r[1]))
-        letters += len(r[1])
-        if len(block) == BLOCK or letters >= BLOCK_LETTERS:
-            blocks.append(block)
-            block, letters = [], 0
-    blocks += [block] if block or not blocks else []
-
-    def over(held) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = held.value
-            for batch in batches:
-                data, offsets = utf8(batch.column(1))
-                ids = batch.column(0).to_pylist()
-                for a, b in pieces(offsets, 1 << 20):
-                    rows = _search(index, ids[a:b], data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                    if rows:
-                        c = list(zip(*rows))
-                        yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.float64())], ["doc_id", "item_id", "distance", "similarity"])
-
-        return source.mapInArrow(run, "doc_id long, item_id long, distance long, similarity double")
-
-    out = None
-    for block in blocks:
-        part = over(spark.sparkContext.broadcast(Index(block, similarity)))
-        out = part if out is None else out.unionByName(part)
-    return out
+    bound_batches(docs.sparkSession)
+    known = cut(_bodies(items, item_id, item_text))
+    found = _contained(docs, known, text, similarity)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _digest(text).alias("t"))
+    return rows.join(bounded(found), "t").join(known.select("item_id", "node"), "node").select("doc_id", "item_id", "distance", "similarity")
 
 
 def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of docs that contain no item, with all their columns; a doc_id of which one row does is dropped."""
+    """Rows of docs whose text contains no item, with all their columns; ids don't matter, so null and repeated ones are kept."""
+    bound_batches(docs.sparkSession)
     name = fresh(docs.columns, "_found")
-    found = matches(docs, items, doc_id, text).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(found, F.col(doc_id).cast("long").eqNullSafe(F.col(name)), "left_anti")
+    found = _contained(docs, cut(_bodies(items, "item_id", "text")), text, SIMILARITY).select(F.col("t").alias(name)).distinct()
+    return docs.join(bounded(cut(found)), _digest(text) == F.col(name), "left_anti")
