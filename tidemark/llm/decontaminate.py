@@ -163,7 +163,10 @@ def _bodies(items: DataFrame, item_id: str, text: str) -> DataFrame:
 
 
 def _picked(bodies: DataFrame) -> DataFrame:
-    """(key, node, place, size, need): the rarest keys of each body; need is how many must be in place."""
+    """(key, node, place, size, need, own, other): the rarest keys of each body; need is how many must be in place.
+
+    own and other have one bit for each key of a body, in the first sample and the second.
+    """
 
     def of(batch):
         for node, body in zip(batch.column(0), batch.column(1)):
@@ -182,14 +185,16 @@ def _picked(bodies: DataFrame) -> DataFrame:
     kept = F.count("*").over(Window.partitionBy("node"))
     # items of less than five letters bear no edit
     need = F.when(F.col("size") < 5, F.lit(1)).otherwise(F.greatest(F.lit(1), F.least(F.lit(VOTES), F.ceil(kept / 16)))).cast("int")
-    return cut(first.select("key", "node", "place", "size", need.alias("need")))
+    bit = F.expr("shiftleft(1L, nth - 1)")
+    even = F.shiftright("key", 32) % SAMPLES == 0
+    return cut(first.select("key", "node", "place", "size", need.alias("need"), F.when(even, bit).otherwise(0).alias("own"), F.when(even, 0).otherwise(bit).alias("other")))
 
 
 def _bitmaps(picked: DataFrame) -> tuple[int, dict[int, np.ndarray]]:
     """Bits of each table of keys (scale and sample), as bytes; its places are the upper bits of the keys there."""
     table, low = F.shiftright("key", 32), F.col("key").bitwiseAND(F.lit((1 << 32) - 1))
     most = max((r["count"] for r in picked.groupBy(table.alias("t")).count().collect()), default=0)
-    bits = min(MAP_BITS, max(16, math.ceil(math.log2(16 * most + 1))))
+    bits = min(MAP_BITS, max(16, math.ceil(math.log2(256 * most + 1))))
     slot = F.shiftright(low, 32 - bits) + 1
     found = picked.groupBy(table.alias("t"), F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
     out: dict[int, np.ndarray] = {}
@@ -291,10 +296,11 @@ def _contained(docs: DataFrame, known: DataFrame, text: str, similarity: float)
     bodies = cut(known.select("node", "body").dropDuplicates(["node"]))
     picked = _picked(bodies)
     source = docs.select(_digest(text).alias("t"), F.lower(text_of(text)).alias("text"))
-    met = _hits(source, picked).join(picked, "key")
+    met = _hits(source, picked).join(bounded(picked), "key")
     cell = F.floor((F.col("at") - F.col("place") + F.col("size")) / _step(F.col("size"))).cast("int")
-    seen = met.select("t", "node", "size", "need", F.explode(F.array(cell - 1, cell)).alias("cell"), F.shiftleft("place", 1).bitwiseOR(F.shiftright("key", 32).bitwiseAND(F.lit(1)).cast("int")).alias("vote"))
-    enough = cut(seen.groupBy("t", "node", "cell", "size", "need").agg(F.size(F.collect_set("vote")).alias("votes")).filter("votes >= need").select("t", "node", "cell", "size"))
+    seen = met.select("t", "node", "size", "need", "own", "other", F.explode(F.array(cell - 1, cell)).alias("cell"))
+    votes = F.bit_count("own") + F.bit_count("other")
+    enough = cut(seen.groupBy("t", "node", "cell", "size", "need").agg(F.bit_or("own").alias("own"), F.bit_or("other").alias("other")).filter(votes >= F.col("need")).select("t", "node", "cell", "size"))
     windows = cut(enough.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("node", "cell", "size"))).alias("windows")))
     texts = source.join(bounded(windows.select("t")), "t", "left_semi").dropDuplicates(["t"])
     parts = _windows(texts.join(windows, "t").select("t", "text", "windows"))
