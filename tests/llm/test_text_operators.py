@@ -173,6 +173,16 @@ def test_kept_documents_against_brute_force(spark, texts):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(least.tolist()))
 
 
+def test_one_row_of_a_group_stays_whatever_its_id(spark):
+    a, b = "the same long text of many words goes here again", "another text which has nothing in common with it"
+    keep = lambda rows: sorted((r.doc_id or 0, r.text or "") for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.lit(1))).collect())
+    assert keep([(1, a), (None, a), (None, b)]) == [(0, b), (1, a)]
+    assert keep([(1, a), (4, b), (4, a)]) == [(1, a), (4, b)]
+    assert keep([(4, a), (4, a.upper()), (4, b), (None, None), (9, "")]) == sorted([(4, min(a, a.upper(), key=lambda t: hashlib.md5(t.encode()).digest())), (4, b), (9, "")])
+    assert keep([(None, a), (None, a), (None, None)]) == [(0, ""), (0, a)]
+    assert keep([]) == []
+
+
 # --- decontamination -------------------------------------------------------------------------------------------------
 
 

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, fresh, pieces, runs, text_of, utf8
+from .common import bound_batches, bounded, cut, pieces, runs, text_of, utf8
 from .components import connected_components
 from .wordhash import mix, slice_hashes
 
@@ -66,45 +66,44 @@ def buckets(hashes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _over(docs: DataFrame, schema: str, of) -> DataFrame:
-    """of(ids, data, offsets) over (doc_id, text), in pieces of bounded size; it returns a record batch's columns."""
+    """of(rows, data, offsets) over docs, whose last column is a text, in pieces of bounded size; it returns a record batch's columns."""
     bound_batches(docs.sparkSession)
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
+            data, offsets = utf8(batch.column(batch.num_columns - 1))
             for a, b in pieces(offsets, 1 << 20):
-                yield pa.RecordBatch.from_arrays(of(batch.column(0).slice(a, b - a), data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), names)
+                yield pa.RecordBatch.from_arrays(of(batch.slice(a, b - a), data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), names)
 
     return docs.mapInArrow(run, schema)
 
 
 def _nodes(source: DataFrame) -> DataFrame:
-    """(doc_id, node, keys): keys are the buckets, as bytes; none for a text without words."""
+    """(doc_id, digest, node, keys): keys are the buckets, as bytes; none for a text without words."""
 
-    def of(ids, data, offsets):
+    def of(rows, data, offsets):
         hashes, row, whole = shingles(data, offsets)
         at, keys = buckets(hashes, row)
-        held = [b""] * len(ids)
+        held = [b""] * rows.num_rows
         for r, k in zip(at.tolist(), keys):
             held[r] = k.tobytes()
-        return [ids, pa.array(whole.view(np.int64)), pa.array(held, pa.binary())]
+        return [rows.column(0), rows.column(1), pa.array(whole.view(np.int64)), pa.array(held, pa.binary())]
 
-    return _over(source, "doc_id long, node long, keys binary", of)
+    return _over(source, "doc_id long, digest binary, node long, keys binary", of)
 
 
 def _sets(source: DataFrame, members: DataFrame) -> DataFrame:
-    """(node, held) of the members, rows of (doc_id, node): the different shingles in order, as bytes."""
+    """(node, held) of the members, rows of (digest, node): the different shingles in order, as bytes."""
 
-    def of(ids, data, offsets):
+    def of(rows, data, offsets):
         hashes, row, whole = shingles(data, offsets)
-        cuts = np.searchsorted(row, np.arange(len(ids) + 1))
+        cuts = np.searchsorted(row, np.arange(rows.num_rows + 1))
         return [pa.array(whole.view(np.int64)), pa.array([np.unique(hashes[a:b]).tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())]
 
-    # a doc_id that repeats or is null brings texts of other nodes along
-    ids = members.groupBy("node").agg(F.min("doc_id").alias("_id")).select("_id").distinct()
-    texts = source.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return _over(texts, "node long, held binary", of).join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    one = cut(members.groupBy("node").agg(F.min("digest").alias("digest")).select("digest"))
+    texts = source.select("digest", "text").join(bounded(one), "digest", "left_semi").dropDuplicates(["digest"])
+    return _over(texts, "node long, held binary", of)
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -127,14 +126,17 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, component_id) for each row of docs; the smallest doc_id of all that links of that similarity lead to.
+def digest(text: str = "text"):
+    """What tells texts apart."""
+    return F.unhex(F.md5(text_of(text)))
 
-    Null and empty texts are copies of each other. A row whose doc_id is null keeps it. An empty table gives no rows.
-    """
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
+
+def _grouped(docs: DataFrame, doc_id: str, text: str, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, digest, node), and the first row (absent, doc_id, digest) of each node's component; absent ids come last."""
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), digest(text).alias("digest"), text_of(text).alias("text"))
     rows = cut(_nodes(source))
-    distinct = cut(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys")))
+    who = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "digest")
+    distinct = cut(rows.groupBy("node").agg(F.min(who).alias("least"), F.first("keys").alias("keys")))
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,11 +150,12 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sim
     # another order in each band, so that nodes meet several leads
     mixed = F.xxhash64("node", "band")
     lead = every.groupBy("band", "key").agg(F.count("*").alias("n"), F.min(F.struct(mixed.alias("o"), "node")).alias("lead")).filter("n > 1")
-    shared = cut(every.join(lead.select("band", "key", F.col("lead.node").alias("lead")), ["band", "key"]))
+    # what a join meets is written first wherever a key may be hot: aggregated sides can't be split
+    shared = cut(every.join(cut(lead.select("band", "key", F.col("lead.node").alias("lead"))), ["band", "key"]))
     ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     stars = shared.filter("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).select(*ordered).distinct()
 
-    sets = cut(_sets(source, rows.join(shared.select("node").distinct(), "node", "left_semi").select("doc_id", "node")))
+    sets = cut(_sets(source, rows.join(shared.select("node").distinct(), "node", "left_semi").select("digest", "node")))
 
     links = cut(_alike(stars, sets, similarity))
     found = connected_components(links)
@@ -165,6 +168,19 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sim
     found = connected_components(links.unionByName(_alike(more, sets, similarity)))
 
     grouped = cut(distinct.join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component")))
-    label = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = grouped.join(label, "component").select("node", "component_id")
-    return rows.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+    label = cut(grouped.groupBy("component").agg(F.min("least").alias("first")))
+    return rows.select("doc_id", "digest", "node"), grouped.join(label, "component").select("node", "first")
+
+
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, component_id) for each row of docs; the smallest doc_id of all that links of that similarity lead to.
+
+    Null and empty texts are copies of each other. A row whose doc_id is null keeps it. An empty table gives no rows.
+    """
+    rows, first = _grouped(docs, doc_id, text, similarity)
+    return rows.join(cut(first), "node").select("doc_id", F.col("first.doc_id").alias("component_id"))
+
+
+def firsts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, digest) of one row of each group of near copies: that with the smallest doc_id, of these the smallest digest."""
+    return _grouped(docs, doc_id, text, similarity)[1].select("first.doc_id", "first.digest").distinct()

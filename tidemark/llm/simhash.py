@@ -19,12 +19,12 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, cut, fresh, pieces, runs, text_of, utf8
 from .components import connected_components
-from .near_copies import near_copies
+from .near_copies import digest, firsts
 
 SEED = 42
 SHINGLE = 3
 RADIUS = 3
-SHARD = 8192  # fingerprints that a shard calls its own
+SHARD = 1 << 14  # fingerprints that a shard calls its own
 SAMPLE = 1 << 16  # fingerprints that the upper levels are made from, at most
 LEAF = 64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -218,19 +218,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     found = connected_components(links(distinct, radius))
     grouped = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     grouped = cut(grouped)
-    label = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
+    # written, since a join with an aggregated side can't be split where a component is large
+    label = cut(grouped.groupBy("component").agg(F.min("least").alias("component_id")))
     named = grouped.join(label, "component").select("fp", "component_id")
     out = fps.join(named, "fp")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that are the smallest of their group of near copies, with all their columns; exact repeats of a row go.
+    """One row of each group of near copies, with all its columns: that with the smallest doc_id, null ids last.
 
     Groups are those of near_copies, by exact similarity; fingerprints within few bits miss most near copies of
-    similarity 0.8. Rows without doc_id stay only if no row of their group has one.
+    similarity 0.8. Rows are told apart by doc_id and text, so null and repeated ids are rows like others; of rows
+    equal in both one stays. Null and empty texts are one group. An empty table gives no rows.
     """
-    kept, copy = fresh(docs.columns, "_kept"), fresh(docs.columns, "_copy")
-    found = near_copies(docs, doc_id, text).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(kept)).distinct()
-    own = docs.join(found, F.col(doc_id).cast("long").eqNullSafe(F.col(kept)), "left_semi")
-    return own.withColumn(copy, F.xxhash64(text_of(text))).dropDuplicates([doc_id, copy]).drop(copy)
+    own, kept = (fresh(docs.columns, name) for name in ("_own", "_kept"))
+    found = firsts(docs, doc_id, text).select(F.col("doc_id").alias(kept), F.col("digest").alias(own))
+    both = (digest(text) == F.col(own)) & F.col(doc_id).cast("long").eqNullSafe(F.col(kept))
+    return docs.join(found, both, "left_semi").withColumn(own, digest(text)).dropDuplicates([doc_id, own]).drop(own)
