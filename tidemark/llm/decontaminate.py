@@ -28,6 +28,7 @@ SIMILARITY = 0.8
 SAMPLES = 2  # of the steps of a walk
 KEYS = 36  # that an item keeps, for each sample
 VOTES = 3  # different keys of an item in place, or a sixteenth of what it keeps
+PARTS = 16  # stretches of an item; keys must be in place in two of them, else one common phrase would do
 SCALES = ((40, 24), (16, 10), (8, 5), (5, 3), (4, 4), (3, 3), (2, 2), (1, 1))  # least letters of an item, steps of its walks
 MAP_BITS = 24  # a bitmap has at most two to the power of this many places
 CHUNK = 1 << 14  # letters embedded at a time
@@ -163,9 +164,10 @@ def _bodies(items: DataFrame, item_id: str, text: str) -> DataFrame:
 
 
 def _picked(bodies: DataFrame) -> DataFrame:
-    """(key, node, place, size, need, own, other): the rarest keys of each body; need is how many must be in place.
+    """(key, node, place, size, need, own, other, part): the rarest keys of each body; need is how many must be in place.
 
-    own and other have one bit for each key of a body, in the first sample and the second.
+    own and other have one bit for each key of a body, in the first sample and the second; part has one bit for the
+    stretch of the body that the key is in.
     """
 
     def of(batch):
@@ -187,7 +189,7 @@ def _picked(bodies: DataFrame) -> DataFrame:
     need = F.when(F.col("size") < 5, F.lit(1)).otherwise(F.greatest(F.lit(1), F.least(F.lit(VOTES), F.ceil(kept / 16)))).cast("int")
     bit = F.expr("shiftleft(1L, nth - 1)")
     even = F.shiftright("key", 32) % SAMPLES == 0
-    return cut(first.select("key", "node", "place", "size", need.alias("need"), F.when(even, bit).otherwise(0).alias("own"), F.when(even, 0).otherwise(bit).alias("other")))
+    return cut(first.select("key", "node", "place", "size", need.alias("need"), F.when(even, bit).otherwise(0).alias("own"), F.when(even, 0).otherwise(bit).alias("other"), F.expr(f"shiftleft(1, cast(floor(place * {PARTS} / size) as int))").alias("part")))
 
 
 def _bitmaps(picked: DataFrame) -> tuple[int, dict[int, np.ndarray]]:
@@ -230,9 +232,9 @@ def _hits(source: DataFrame, picked: DataFrame) -> DataFrame:
     return _map(source.select("t", "text"), "t binary, key long, at int", of)
 
 
-def _step(size):
-    """Half of a window in which the keys of an item must be."""
-    return F.greatest(F.lit(16), F.floor(size / 4)) if isinstance(size, Column) else max(16, size // 4)
+def _step(size: Column) -> Column:
+    """Half of a window in which the keys of an item must be; edits move them by less."""
+    return F.greatest(F.lit(16), F.floor(size / 4))
 
 
 def _windows(texts: DataFrame) -> DataFrame:
@@ -247,13 +249,11 @@ def _windows(texts: DataFrame) -> DataFrame:
                 first, end = int(begin[r - a]), int(begin[r - a + 1])
                 places: dict[bytes, list] = {}
                 for w in batch.column(2)[r].as_py():
-                    size, step = w["size"], _step(w["size"])
-                    slack = size // 4 + 8
-                    x = first + w["cell"] * step - size - slack
-                    y = x + 2 * step + size + 2 * slack
+                    slack = w["size"] // 4 + 8
+                    x, y = first + w["low"] - slack, first + w["high"] + w["size"] + slack
                     own = places.setdefault(w["node"], [])
                     if own and x <= own[-1][1]:
-                        own[-1][1] = y
+                        own[-1][1] = max(y, own[-1][1])
                     else:
                         own.append([x, y])
                 for node, found in places.items():
@@ -287,7 +287,7 @@ def _compared(parts: DataFrame, similarity: float) -> DataFrame:
 
 
 def _digest(text: str) -> Column:
-    return F.unhex(F.md5(F.lower(text_of(text))))
+    return F.unhex(F.md5(text_of(text)))
 
 
 def _contained(docs: DataFrame, known: DataFrame, text: str, similarity: float) -> DataFrame:
@@ -295,15 +295,17 @@ def _contained(docs: DataFrame, known: DataFrame, text: str, similarity: float)
     bound_batches(docs.sparkSession)
     bodies = cut(known.select("node", "body").dropDuplicates(["node"]))
     picked = _picked(bodies)
-    source = docs.select(_digest(text).alias("t"), F.lower(text_of(text)).alias("text"))
-    met = _hits(source, picked).join(bounded(picked), "key")
-    cell = F.floor((F.col("at") - F.col("place") + F.col("size")) / _step(F.col("size"))).cast("int")
-    seen = met.select("t", "node", "size", "need", "own", "other", F.explode(F.array(cell - 1, cell)).alias("cell"))
-    votes = F.bit_count("own") + F.bit_count("other")
-    enough = cut(seen.groupBy("t", "node", "cell", "size", "need").agg(F.bit_or("own").alias("own"), F.bit_or("other").alias("other")).filter(votes >= F.col("need")).select("t", "node", "cell", "size"))
-    windows = cut(enough.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("node", "cell", "size"))).alias("windows")))
+    source = docs.select(_digest(text).alias("t"), text_of(text).alias("text"))
+    lower = F.lower("text").alias("text")
+    met = _hits(source.select("t", lower), picked).join(bounded(picked), "key").withColumn("from", F.col("at") - F.col("place"))
+    cell = F.floor((F.col("from") + F.col("size")) / _step(F.col("size"))).cast("int")
+    seen = met.select("t", "node", "size", "need", "own", "other", "part", "from", F.explode(F.array(cell - 1, cell)).alias("cell"))
+    votes = seen.groupBy("t", "node", "cell", "size", "need").agg(*[F.bit_or(c).alias(c) for c in ("own", "other", "part")], F.min("from").alias("low"), F.max("from").alias("high"))
+    good = (F.bit_count("own") + F.bit_count("other") >= F.col("need")) & (F.bit_count("part") >= F.least(F.lit(2), "need"))
+    enough = cut(votes.filter(good).select("t", "node", "size", "low", "high"))
+    windows = cut(enough.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("node", "low", "high", "size"))).alias("windows")))
     texts = source.join(bounded(windows.select("t")), "t", "left_semi").dropDuplicates(["t"])
-    parts = _windows(texts.join(windows, "t").select("t", "text", "windows"))
+    parts = _windows(texts.join(windows, "t").select("t", lower, "windows"))
     found = _compared(parts.join(bodies, "node"), similarity)
     best = F.min_by(F.struct("distance", "similarity"), "distance").alias("b")
     return cut(found.groupBy("t", "node").agg(best).select("t", "node", "b.*"))

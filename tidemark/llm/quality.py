@@ -1,8 +1,9 @@
 """Quality of documents: random-indexing word vectors, pooled, and a small network with calibrated probabilities.
 
 Every token has a sparse ternary index vector made from its hash; a token's word vector is the sum of the index
-vectors of the tokens around it in the training texts. The mean of a document's word vectors and a few figures of its
-tokens go through a two-layer network written with numpy; a temperature found on held-back rows calibrates it.
+vectors of the tokens around it in the training texts. A document's word vectors are pooled: their mean, their spread,
+the mean of the products of neighbours, and the mean times the logarithm of their number; that goes through a two-layer
+network written with numpy. A temperature found on held-back rows calibrates it.
 """
 
 from __future__ import annotations
@@ -11,20 +12,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, map_arrow, pieces, runs, text_of, utf8
+from .common import bound_batches, cut, map_arrow, pieces, runs, text_of, utf8
 from .wordhash import WORD, mix, slice_hashes
 
 THRESHOLD = 0.3
 TRAIN_ROWS = 4000  # labelled rows that the model is fitted on, at most
-VOCABULARY = 1 << 15
-DIM, NONZERO, WINDOW = 48, 6, 2
+TRAIN_BYTES = 32 << 20  # of their texts, at most; rows beyond that aren't learned from
+VOCABULARY = 1 << 15  # word vectors that are kept, the commonest; other tokens share one
+DIM, NONZERO, WINDOW = 64, 6, 2
+POOLED = 4 * (DIM + 1)
 HIDDEN, EPOCHS, RATE, DECAY = 32, 60, 3e-3, 1e-4
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 11, 12, 13, 32]] = True
-_FIGURES = 9
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,44 +68,36 @@ class Vectors:
                 own, other = word[a][ok], inverse[b][ok]
                 for d in range(DIM):
                     total[:, d] += np.bincount(own, weights=index[:, d][other], minlength=len(keep))
-        self.vectors = (total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+        # one more dimension, and a last vector along it, for tokens without a vector of their own
+        self.vectors = np.zeros((len(keep) + 1, DIM + 1), np.float32)
+        self.vectors[:-1, :DIM] = total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
+        self.vectors[-1, DIM] = 1
 
-    def features(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """One row for each text: pooled word vector and figures of its tokens; zeros for a text without tokens."""
+    def features(self, data: np.ndarray, offsets: np.ndarray, chunk: int = 1 << 15) -> np.ndarray:
+        """The pooled vectors of each text; zeros for a text without tokens."""
         n = len(offsets) - 1
-        h, row, kind = tokens(data, offsets)
-        out = np.zeros((n, DIM + _FIGURES), np.float32)
-        if not len(h):
-            return out
-        at = np.minimum(np.searchsorted(self.known, h), max(0, len(self.known) - 1))
-        hit = self.known[at] == h if len(self.known) else np.zeros(len(h), bool)
-        for i in range(0, len(h), 1 << 16):
-            part = slice(i, i + (1 << 16))
-            ok = hit[part]
-            r = row[part][ok]
-            if len(r):
-                edge = np.flatnonzero(np.diff(r, prepend=-1))
-                out[r[edge], :DIM] += np.add.reduceat(self.vectors[at[part][ok]], edge, axis=0)
-        size, hits = np.bincount(row, minlength=n), np.bincount(row[hit], minlength=n)
-        out[:, :DIM] /= np.maximum(hits, 1)[:, None]
-        both = np.unique(mix(h) ^ mix(row.astype(np.uint64) + np.uint64(1)), return_index=True)[1]
-        distinct = np.bincount(row[both], minlength=n)
-        total = np.maximum(size, 1)
-        twice = np.bincount(row[1:][(h[1:] == h[:-1]) & (row[1:] == row[:-1])], minlength=n)
-        shares = [np.bincount(row[kind == k], minlength=n) / total for k in range(3)]
-        capital = (data >= 65) & (data <= 90)
-        ahead = np.concatenate(([0], np.cumsum(capital)))
-        letters = np.concatenate(([0], np.cumsum(WORD[data])))
-        upper = (ahead[offsets[1:]] - ahead[offsets[:-1]]) / np.maximum(letters[offsets[1:]] - letters[offsets[:-1]], 1)
-        figures = [np.log1p(size) / 4, distinct / total, hits / total, twice / total, *shares, upper, np.linalg.norm(out[:, :DIM], axis=1)]
-        out[:, DIM:] = np.stack(figures, axis=1)
-        out[size == 0] = 0
-        return out
+        h, row, _ = tokens(data, offsets)
+        at = np.searchsorted(self.known, h)
+        inside = np.minimum(at, max(0, len(self.known) - 1))
+        at = np.where((self.known[inside] == h) if len(self.known) else False, inside, len(self.known))
+        mean, square, beside = (np.zeros((n, DIM + 1), np.float32) for _ in range(3))
+        for i in range(0, len(h), chunk):
+            begin = max(0, i - 1)  # the last token of the chunk before is the first one's neighbour
+            r, x = row[begin : i + chunk], self.vectors[at[begin : i + chunk]]
+            both = x[1:] * x[:-1] * (r[1:] == r[:-1])[:, None]
+            for total, values, rows in ((mean, x[i - begin :], r[i - begin :]), (square, x[i - begin :] ** 2, r[i - begin :]), (beside, both, r[1:])):
+                edge = np.flatnonzero(np.diff(rows, prepend=-1))
+                if len(edge):
+                    total[rows[edge]] += np.add.reduceat(values, edge, axis=0)
+        size = np.bincount(row, minlength=n)[:, None]
+        for total in (mean, square, beside):
+            total /= np.maximum(size, 1)
+        return np.concatenate((mean, np.sqrt(np.maximum(square - mean**2, 0)), beside, mean * np.log1p(size).astype(np.float32)), axis=1)
 
     def all_features(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """features(), piece by piece, so that memory stays small."""
         done = [self.features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in pieces(offsets, 1 << 19)]
-        return np.concatenate(done) if done else np.zeros((0, DIM + _FIGURES), np.float32)
+        return np.concatenate(done) if done else np.zeros((0, POOLED), np.float32)
 
 
 class Network:
@@ -149,16 +143,20 @@ def held_out(doc_id):
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", rows: int = TRAIN_ROWS) -> tuple[Vectors, Network]:
-    """A model from at most so many labelled rows, taken in the order of a hash of their doc_id.
+    """A model from at most so many labelled rows and TRAIN_BYTES of text, taken in the order of a hash of their doc_id.
 
-    Labels that are null, or contradict each other for one doc_id, aren't used; without usable labels the score is 0.5.
+    Labels that are null, or contradict each other for one doc_id, aren't used; of the texts that share a doc_id the
+    least is. Without usable labels, or with labels of one kind only, the score is 0.5.
     """
     chosen = labels.select(F.col(doc_id).alias("_id"), F.col(label).alias("_y")).filter(F.col("_y").isin(0, 1) & F.col("_id").isNotNull() & ~held_out(F.col("_id")))
     chosen = chosen.groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_top")).filter("_y = _top").drop("_top")
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(rows)
     # the limit bounds what is broadcast
     texts = docs.select(F.col(doc_id).alias("_doc"), text_of(text).alias("_t"))
-    table = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_id", "_y", "_t").toArrow().sort_by("_id")
+    one = cut(texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).groupBy("_id", "_y").agg(F.min("_t").alias("_t")))
+    up_to = F.sum("_n").over(Window.orderBy(F.xxhash64("_id"), "_id"))  # over at most so many lengths
+    taken = one.select("_id", F.octet_length("_t").cast("long").alias("_n")).withColumn("_n", up_to).filter(F.col("_n") <= TRAIN_BYTES)
+    table = one.join(F.broadcast(taken.select("_id")), "_id", "left_semi").select("_id", "_y", "_t").toArrow().sort_by("_id")
     column = table.column("_t").combine_chunks()
     column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
     y = np.array(table.column("_y").to_pylist(), float)
@@ -192,7 +190,11 @@ def score(docs: DataFrame, model: tuple[Vectors, Network], doc_id: str = "doc_id
 
 
 def accepted(docs: DataFrame, model: tuple[Vectors, Network], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Rows of docs that score the threshold or more, with all their columns, without a shuffle."""
+    """Rows of docs that score the threshold or more, with all their columns, without a shuffle.
+
+    Each row counts for itself: null and repeated ids don't matter, null and empty texts are scored as texts without
+    tokens, an empty table stays empty. Without a network all rows stay.
+    """
     spark = docs.sparkSession
     bound_batches(spark)
     held = spark.sparkContext.broadcast(model)
