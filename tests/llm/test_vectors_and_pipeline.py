@@ -38,6 +38,34 @@ def test_odd_vectors(spark):
     assert permutation_index.nearest(df.filter("vec_id in (0, 1)")).count() == 1
 
 
+def test_files_rule_most_vectors_out():
+    x = np.random.default_rng(2).normal(size=(12000, 64))
+    pivots = permutation_index.Pivots(x[:6000], 5)
+    unit = permutation_index._unit(x)
+    order = pivots.order(unit)
+    files = permutation_index.Files(order, len(pivots.points))
+    hit, seen = 0, 0
+    for q in range(0, 12000, 200):
+        shared = files.shared(order[q])
+        n = pivots.nearest
+        places = [{p: i for i, p in enumerate(order[r].tolist())} for r in (q, 7)]
+        plain = sum(abs(places[0].get(p, n) - places[1].get(p, n)) for p in places[0].keys() | places[1].keys())
+        assert plain == n * (n + 1) - 2 * shared[7]
+        s = unit @ unit[q]
+        s[q] = -9
+        good = shared >= pivots.shared
+        seen += good.sum()
+        hit += good[np.argsort(-s)[:5]].sum()
+    assert hit / 300 >= 0.9 and seen / 60 < 0.2 * len(x)
+
+
+def test_extreme_magnitudes(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e-200, 1e-200]), (2, [5e-324, 0.0]), (3, [1e300, -1e300]), (50, [3.0, 3.0])]
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in permutation_index.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert [got[0, k][0] for k in (1, 2, 3, 4)] == [1, 50, 2, 3] and all(np.isfinite(s) for _, s in got.values())
+    assert abs(got[50, 1][1] - 1) < 1e-12 and abs(got[0, 3][1] - 0.5**0.5) < 1e-12 and abs(got[0, 4][1]) < 1e-12
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 100), (7, 7), (None, 3)] + [(200, 200 + i) for i in range(1, 50)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}

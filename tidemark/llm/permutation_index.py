@@ -1,10 +1,11 @@
 """Nearest vectors by a permutation index: vectors are told apart by the order in which they see a set of pivots.
 
 Each vector is represented by its nearest pivots in order; within a block of vectors every pivot has an inverted file
-of the vectors that it is near to, with the place that it takes there. A query adds up, over the files of its own
-nearest pivots, the differences in place (Spearman's footrule; a pivot that a vector lacks counts as the place after
-the last). All vectors within a footrule radius, which is calibrated on a sample for the recall that is asked for, are
-ranked again by their exact cosine. There is no cap on candidates.
+of the vectors that it is near to, with the place that it takes there. A query adds up what it shares with others over
+the files of its own nearest pivots, which gives Spearman's footrule between the two orders (a pivot that one of them
+lacks counts as the place after the last); vectors that share no pivot with it are never looked at. All vectors within
+a footrule radius, which is calibrated on a sample for the recall that is asked for, are ranked again by their exact
+cosine. There is no cap on candidates.
 
 Equal vectors are one entry with its smallest ids. Blocks of entries and chunks of queries make a grid of tasks whose
 size is bounded, so neither side has to fit anywhere as a whole.
@@ -22,47 +23,49 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, cut
 
-PIVOTS, NEAREST = 128, 64
-SAMPLE = 2048  # vectors that pivots and radius come from, at most
+PIVOTS, NEAREST = 1024, 64
+SAMPLE = 8192  # vectors that pivots and radius come from, at most
 RECALL = 0.94
-BLOCK, CHUNK = 16384, 4096  # entries and queries of a task
+BLOCK, CHUNK = 16384, 32768  # entries and queries of a task
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Each vector times a power of two, so that its largest component is near one; the cosine stays what it is."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True, initial=0))[1])
+
+
 class Pivots:
     """Pivots and radius, fitted on a bounded sample; they are as large as PIVOTS says."""
 
     def __init__(self, sample: np.ndarray, k: int, pivots: int = PIVOTS, nearest: int = NEAREST, recall: float = RECALL):
-        x = _unit(sample) if len(sample) else sample
-        self.points = x[:pivots]
+        x = _unit(_scaled(sample)) if len(sample) else sample
+        self.points = x[: max(min(pivots, len(x)) // 4, min(pivots, len(x) // 3))]
         self.nearest = max(1, min(nearest, len(self.points)))
-        self.radius = math.inf
+        self.shared = 1  # least sum over shared pivots of how far the later of its two places is from the end
         rest = x[len(self.points) :]
         if len(rest) > 4 * k:
             order = self.order(rest)
-            some = np.arange(min(256, len(rest)))
-            near = rest[some] @ rest.T
-            near[some, some] = -np.inf
-            best = np.argsort(-near, axis=1, kind="stable")[:, :k]
-            places = self.places(order)
-            foot = np.stack([self.footrule(order[q], places[best[i]]) for i, q in enumerate(some)])
-            self.radius = float(np.quantile(foot, recall))
+            files, some = Files(order, len(self.points)), min(512, len(rest))
+            near = rest[:some] @ rest.T
+            near[np.arange(some), np.arange(some)] = -np.inf
+            best = np.argpartition(-near, k, axis=1)[:, :k]
+            found = np.stack([files.shared(order[q])[best[q]] for q in range(some)])
+            self.shared = max(1, int(np.quantile(found, 1 - recall)))
 
     def order(self, x: np.ndarray) -> np.ndarray:
         """The nearest pivots of each vector, nearest first."""
-        return np.argsort(-(x @ self.points.T), axis=1, kind="stable")[:, : self.nearest].astype(np.int16)
-
-    def places(self, order: np.ndarray) -> np.ndarray:
-        out = np.full((len(order), len(self.points)), self.nearest, np.int32)
-        np.put_along_axis(out, order.astype(np.int64), np.arange(self.nearest, dtype=np.int32)[None, :], 1)
+        out = np.empty((len(x), self.nearest), np.int16)
+        for i in range(0, len(x), 4096):
+            near = x[i : i + 4096] @ self.points.T
+            top = np.argpartition(-near, self.nearest - 1, axis=1)[:, : self.nearest] if len(self.points) else np.zeros((len(near), 0), np.int64)
+            own = np.take_along_axis(near, top, 1)
+            out[i : i + 4096, : top.shape[1]] = np.take_along_axis(top, np.lexsort((top, -own), axis=1), 1)
         return out
 
-    def footrule(self, query: np.ndarray, places: np.ndarray) -> np.ndarray:
-        return np.abs(places[:, query] - np.arange(self.nearest)).sum(axis=1)
-
 
 class Files:
     """Inverted files of one block: for each pivot the vectors that have it among their nearest, and its place."""
@@ -75,29 +78,26 @@ class Files:
         ends = np.searchsorted(order.ravel()[by], np.arange(pivots + 1))
         self.files = [(row[by[a:b]], place[by[a:b]]) for a, b in zip(ends[:-1], ends[1:])]
 
-    def footrule(self, query: np.ndarray) -> np.ndarray:
-        """Distance of every vector of the block from a query."""
-        lacking = self.nearest - np.arange(self.nearest)
-        total = np.full(self.n, int(lacking.sum()), np.int32)
-        for at, pivot in enumerate(query.tolist()):
-            row, place = self.files[pivot]
-            total[row] += np.abs(place - at) - int(lacking[at])
-        return total
+    def shared(self, query: np.ndarray) -> np.ndarray:
+        """For every vector of the block the sum over the pivots that it shares with a query; the footrule is n (n + 1)
+        less twice that, n being the number of nearest pivots."""
+        found = [self.files[p] for p in query.tolist()]
+        gain = [self.nearest - np.maximum(place, at) for at, (_, place) in enumerate(found)]
+        return np.bincount(np.concatenate([row for row, _ in found]), np.concatenate(gain), self.n)
 
 
 def search_block(pivots: Pivots, vectors: np.ndarray, ids: list, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query the k + 1 best ids of a block and their cosines; ids has the smallest ids of each vector."""
-    unit = _unit(vectors)
-    files = Files(pivots.order(unit), len(pivots.points))
-    asked = _unit(queries)
+    vectors, queries = _scaled(vectors), _scaled(queries)
+    files = Files(pivots.order(_unit(vectors)), len(pivots.points))
     norms = np.linalg.norm(vectors, axis=1)
     flat = np.concatenate(ids)
     ends = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
-    for q, order in enumerate(pivots.order(asked)):
-        foot = files.footrule(order)
-        found = np.flatnonzero(foot <= pivots.radius)
+    for q, order in enumerate(pivots.order(_unit(queries))):
+        shared = files.shared(order) if len(pivots.points) else np.zeros(len(vectors))
+        found = np.flatnonzero(shared >= pivots.shared)
         if len(found) <= k:  # too few within the radius: the nearest by footrule as well
-            found = np.argsort(foot, kind="stable")[: k + 1]
+            found = np.argsort(-shared, kind="stable")[: k + 1]
         score = np.clip(vectors[found] @ queries[q] / (norms[found] * np.linalg.norm(queries[q])), -1.0, 1.0)
         if len(found) > 4 * (k + 1):
             last = np.partition(-score, k)[k]
@@ -131,7 +131,8 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_
     Nearness is the largest cosine, computed in double precision from the vectors as they are; ties go to the smaller
     vec_id. Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without id or
     vectors of another length than the commonest. A query's own id is no candidate; rows that repeat an id count as
-    that id once, with their best score. With fewer than k candidates all are returned.
+    that id once, with their best score. With fewer than k candidates all are returned. Components may be as large or
+    small as doubles are: vectors are scaled by a power of two first. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     bound_batches(spark)
