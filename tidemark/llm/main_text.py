@@ -1,8 +1,9 @@
 """Main text of web pages: flat text blocks, classified by a decision tree.
 
 A page becomes a flat list of blocks, each with its number of words, its link density, those of its neighbours, and
-whether the elements around it say what it is. A small decision tree, trained on a labelled table of blocks, tells the
-article from the rest; the blocks of the article are joined.
+what the elements around it and their names say. Names are a hint only: one that most of the article or page stands
+under, or that the article itself stands in, doesn't count. A small decision tree, trained on a labelled table of
+blocks, tells the article from the rest; the blocks of the article are joined.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from itertools import count
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,28 +38,42 @@ NAMED = re.compile(
     r"comments?|comment-list|disqus|replies|reply|respond|discussion|pager|pagination|toolbar|tags|meta|byline)(?:$|[\s_-])",
     re.I,
 )
+IN_HEAD = {"meta", "title", "link", "style", "script", "base", "noscript", "template"}
+MOST = 0.8  # of the words of an article or page; a name that so many stand under says nothing
+NOT_IT = re.compile(r"(?:^|\s)(?:with|has|no|without|is)[-_]\S*", re.I)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"}
 MAIN = {"article", "main"}
-TAG = re.compile(r"<(?:!--.*?(?:-->|$)|!\[CDATA\[.*?(?:\]\]>|$)|[!?][^>]*(?:>|$)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$))", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|aria-hidden|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+TAG = re.compile(r"<(?:!--.*?(?:-->|$)|!\[CDATA\[.*?(?:\]\]>|$)|[!?][^>]*(?:>|$)|(/?)([A-Za-z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*(?:\"|$)|'[^']*(?:'|$)|(?![\"'])[^\s>]*))*)(?:>|$))", re.S)
+ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|aria-hidden|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 SPACE = re.compile(r"\s+")
 WORD = re.compile(r"\w+")
 
 
-def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
-    """(text, words, words in links, within the page's furniture, within an article, heading) of each block in order."""
+class _State(NamedTuple):
+    """What the open elements say: number of the outermost named element without and within the article, number of the article."""
+
+    name: str = ""
+    around: bool = False
+    article: int = 0
+    link: bool = False
+    outer: int = 0
+    inner: int = 0
+
+
+def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool, bool]]:
+    """(text, words, words in links, in the page's furniture, under a name of furniture, in an article, heading) of each block."""
     out: list[tuple] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, furniture, main, link
+    stack: list[_State] = []
     buffer: list[tuple[str, bool]] = []
     heading = False
+    numbers = count(1)
 
     def flush() -> None:
         if buffer:
             text = SPACE.sub(" ", html.unescape("".join(t for t, _ in buffer))).strip()
             if text:
                 linked = sum(len(WORD.findall(html.unescape(t))) for t, in_link in buffer if in_link)
-                state = stack[-1] if stack else ("", False, False, False)
-                out.append((text, len(WORD.findall(text)), linked, state[1], state[2], heading))
+                out.append((text, len(WORD.findall(text)), linked, heading, stack[-1] if stack else _State()))
             buffer.clear()
 
     at, skipped, end = 0, None, len(page)
@@ -65,7 +82,8 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
         if skipped:
             close = re.compile(rf"</{re.escape(skipped)}(?=[\s/>]|$)[^>]*(?:>|$)", re.I).search(page, at)
             if skipped in RAW or close is None:
-                at, skipped = (close.end() if close else end), None
+                # without an end tag only these go on to the end of the page
+                at, skipped = (close.end() if close else end if skipped in RAW else at), None
                 continue
             depth, place = 1, at
             for m in re.compile(rf"<(/?){re.escape(skipped)}(?=[\s/>])[^>]*>", re.I).finditer(page, at):
@@ -77,7 +95,9 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             continue
         text = page[at : tag.start() if tag else end]
         if text:
-            buffer.append((text, bool(stack) and stack[-1][3]))
+            if stack and stack[-1].name == "head" and not text.isspace():
+                stack.pop()
+            buffer.append((text, bool(stack) and stack[-1].link))
         if not tag:
             break
         at = tag.end()
@@ -98,6 +118,8 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
         if name == "br":
             buffer.append((" ", False))
             continue
+        if stack and stack[-1].name == "head" and name not in IN_HEAD:
+            stack.pop()  # its end tag may be left out
         if name in BLOCK:
             flush()
             for k in range(len(stack) - 1, -1, -1):
@@ -113,19 +135,38 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
         if name in VOID:
             continue
         attributes = {m[1].lower(): next((g for g in m.groups()[1:] if g), "") for m in ATTRIBUTE.finditer(tag[3])} if tag[3] else {}
-        outer = stack[-1] if stack else ("", False, False, False)
-        named = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-        inside = outer[2] or name in MAIN or attributes.get("role", "").lower() in ("main", "article")
-        furniture = outer[1] or name == "head" or name in AROUND and not (name == "header" and inside) or attributes.get("role", "").lower() in ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true"
-        furniture = furniture or bool(named.strip()) and name not in ("html", "body", *MAIN) and bool(NAMED.search(named))
-        stack.append((name, furniture, inside, outer[3] or name == "a"))
+        up = stack[-1] if stack else _State()
+        role = attributes.get("role", "").lower()
+        named = NOT_IT.sub(" ", f"{attributes.get('class', '')} {attributes.get('id', '')}")
+        article = up.article or (next(numbers) if name in MAIN or role in ("main", "article") else 0)
+        around = up.around or name == "head" or name in AROUND and not (name == "header" and article) or role in ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true"
+        hint = next(numbers) if name not in ("html", "body", *MAIN) and NAMED.search(named) else 0
+        stack.append(_State(name, around, article, up.link or name == "a", up.outer or (0 if article else hint), up.inner or (hint if article else 0)))
         if re.fullmatch("h[1-6]", name):
             heading = True
     flush()
+    return _weighed(out)
+
+
+def _weighed(found: list[tuple]) -> list[tuple]:
+    """Names that most of the words stand under are dropped, and those around the article with the most words."""
+    own = [(words - linked) * (not state.around) for _, words, linked, _, state in found]
+    under: dict[tuple, int] = {}
+    for n, (*_, state) in zip(own, found):
+        for key in (("page", 0), ("outer", state.outer), ("inner", state.inner), ("article", state.article)):
+            under[key] = under.get(key, 0) + n
+    articles = [k for k in under if k[0] == "article" and k[1]]
+    largest = max(articles, key=lambda k: (under[k], -k[1]))[1] if articles else 0
+    out = []
+    for text, words, linked, heading, state in found:
+        inside = under["article", state.article] if state.article else under["page", 0]
+        outer = state.outer and not (articles and state.article == largest) and (bool(articles) or under["outer", state.outer] < MOST * under["page", 0])
+        inner = state.inner and under["inner", state.inner] < MOST * inside
+        out.append((text, words, linked, state.around, bool(outer or inner), bool(state.article), heading))
     return out
 
 
-FEATURES = ["words", "link_density", "furniture", "article", "heading", "page_has_article", "words_before", "link_density_before", "words_after", "link_density_after"]
+FEATURES = ["words", "link_density", "furniture", "named", "article", "heading", "page_has_article", "words_before", "link_density_before", "words_after", "link_density_after"]
 
 
 def features(found: list[tuple]) -> np.ndarray:
@@ -133,8 +174,8 @@ def features(found: list[tuple]) -> np.ndarray:
     n = len(found)
     words = np.array([0, *(b[1] for b in found), 0], float)
     density = np.array([0, *(b[2] for b in found), 0], float) / np.maximum(words, 1)
-    flags = np.array([b[3:6] for b in found], float).reshape(n, 3)
-    return np.column_stack([words[1:-1], density[1:-1], flags, np.full(n, float(flags[:, 1].any() if n else 0)), words[:-2], density[:-2], words[2:], density[2:]])
+    flags = np.array([b[3:7] for b in found], float).reshape(n, 4)
+    return np.column_stack([words[1:-1], density[1:-1], flags, np.full(n, float(flags[:, 2].any() if n else 0)), words[:-2], density[:-2], words[2:], density[2:]])
 
 
 def examples() -> tuple[np.ndarray, np.ndarray]:
@@ -153,7 +194,7 @@ def examples() -> tuple[np.ndarray, np.ndarray]:
     pages = []
     for k in range(len(paragraphs)):
         body = "<h1>+A title</h1>" + "".join(paragraphs[(k + j) % len(paragraphs)] for j in range(1 + k)) + "<h2>+Next part</h2>" + paragraphs[k]
-        for wrap in ("<article>{}</article>", "<main>{}</main>", f"<article>{{}}{comments}{ad}</article>"):
+        for wrap in ("<article>{}</article>", "<main>{}</main>", f"<article>{{}}{comments}{ad}</article>", f"<main>{{}}{aside}{form}</main>"):
             pages.append(f"{nav}{ad}{wrap.format(body)}{aside}{foot}")
             pages.append(f'{notice}<header><p>{prose}</p></header>{wrap.format(body)}{form}{comments}{foot}')
             pages += [wrap.format(body), f"{nav}{wrap.format(body)}", f"{wrap.format(body)}<p>{prose}</p>", f"<p>{short}</p>{wrap.format(body)}<p>{short}</p>", f"<p>{prose}</p>{wrap.format('<p>+Yes</p>')}"]
@@ -225,7 +266,8 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page:
     """(page_id, url, text) for each row: the text of the blocks taken for the article, in order, two newlines between.
 
     White space within a block is one space. Null and empty pages and pages without an article give an empty text;
-    tags that aren't closed, and pages that break off, are read as far as they go. Repeated rows stay.
+    tags that aren't closed, and pages that break off, are read as far as they go. Repeated rows stay, null ids stay
+    null, other columns don't matter, an empty table gives no rows.
     """
     bound_batches(pages.sparkSession)
     tree = Tree(*examples())
