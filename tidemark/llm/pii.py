@@ -2,16 +2,17 @@
 
 Seeds are e-mail addresses, IP addresses, card and phone numbers with a strict form. The words around them are lexical
 patterns; patterns and the tokens they surround make a bipartite graph, whose two sides score each other in rounds. A
-token that looks like an identifier, isn't a seed, and stands in a pattern of high confidence is found as well.
+token that looks like an identifier, isn't a seed, and stands in a pattern of high confidence is found as well. What is
+found counts as a seed from then on, with its pattern's score, until a round finds nothing new.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import spans as S
-from .common import cut, fresh, quoted, text_of
+from .common import bounded, cut, quoted, text_of
 
 KINDS = ["email", "ip", "card", "phone"]
 # The strict forms. Possessive quantifiers and look-behinds change no match; they keep long runs linear.
@@ -22,7 +23,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 OCTET = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})(?:\.|$)){4}$"
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 
-ROUNDS = 2
+ROUNDS = 50  # at most; it ends when nothing new is found
 CONFIDENCE = 0.8  # of a pattern
 SUPPORT = 3  # different seeds of a pattern
 DIGITS = 5  # of an identifier without an @
@@ -53,20 +54,24 @@ def base_spans(text: Column) -> Column:
 def occurrences(text: Column) -> Column:
     """Tokens with a digit or an @: place of the token without the punctuation around it, and the words on both sides."""
 
+    word = lambda x: F.lower(F.regexp_replace(x, r"[^\p{L}=:#]", ""))
+
     def at(found: Column) -> Column:
-        gaps = F.split(text, TOKEN, -1)
-        word = lambda x: F.lower(F.regexp_replace(x, r"[^\p{L}=:#]", ""))
-        # a token directly beside another one has no word on that side
-        left = lambda i: word(F.regexp_extract(F.element_at(gaps, i + 1), r"(\S+)\s*+$", 1))
-        right = lambda i: word(F.regexp_extract(F.element_at(gaps, i + 2), r"^\s*+(\S++)", 1))
         places = F.zip_with(S.starts(text, TOKEN, found), found, lambda s, m: F.struct(s.alias("s"), m.alias("m")))
 
-        def one(x: Column, i: Column) -> Column:
-            lead = F.length(F.regexp_extract(x["m"], r"^[^\p{L}\p{N}@+(]*+", 0))
-            core = F.regexp_replace(F.substring(x["m"], lead + 1, F.length(x["m"])), r"[^\p{L}\p{N}]++$", "")
-            return F.struct((x["s"] + lead).alias("start"), (x["s"] + lead + F.length(core)).alias("end"), core.alias("core"), left(i).alias("left"), right(i).alias("right"))
+        def with_gaps(gaps: Column) -> Column:
+            # a token directly beside another one has no word on that side
+            left = lambda i: word(F.regexp_extract(F.element_at(gaps, i + 1), r"(?<!\S)(\S++)\s*+$", 1))
+            right = lambda i: word(F.regexp_extract(F.element_at(gaps, i + 2), r"^\s*+(\S++)", 1))
+
+            def one(x: Column, i: Column) -> Column:
+                lead = F.length(F.regexp_extract(x["m"], r"^[^\p{L}\p{N}@+(]*+", 0))
+                core = F.regexp_replace(F.substring(x["m"], lead + 1, F.length(x["m"])), r"(?<![^\p{L}\p{N}])[^\p{L}\p{N}]++$", "")
+                return F.struct((x["s"] + lead).alias("start"), (x["s"] + lead + F.length(core)).alias("end"), core.alias("core"), left(i).alias("left"), right(i).alias("right"))
 
-        return F.transform(places, one)
+            return F.transform(places, one)
+
+        return S._let(F.split(text, TOKEN, -1), with_gaps)
 
     return F.when(F.regexp_instr(text, F.lit("[0-9@]")) > 0, S._let(S.matches(text, TOKEN), at)).otherwise(
         F.array().cast("array<struct<start:int,end:int,core:string,left:string,right:string>>")
@@ -75,36 +80,69 @@ def occurrences(text: Column) -> Column:
 
 def _patterns(seen: DataFrame, confidence: float, support: int, rounds: int) -> DataFrame:
     """(pattern, kind) of high confidence. seen: (pattern, core, kind or null), one row for each occurrence."""
-    scores = [F.when(F.col("kind") == k, 1.0).otherwise(0.0).alias(f"s{k}") for k in range(len(KINDS))]
-    edges = cut(seen.groupBy("pattern", "core").agg(F.count("*").alias("n"), F.max("kind").alias("kind")).select("pattern", "core", "n", "kind", *scores))
-    S_ = [f"s{k}" for k in range(len(KINDS))]
-    now = edges
-    for step in range(rounds):
-        pattern = now.groupBy("pattern").agg(*[(F.sum(F.col(s) * F.col("n")) / F.sum("n")).alias(f"p{s}") for s in S_], *[F.count_if(F.col("kind") == k).alias(f"c{k}") for k in range(len(KINDS))])
-        if step == rounds - 1:
+    edges = cut(seen.groupBy("pattern", "core").agg(F.count("*").alias("n"), F.max("kind").alias("seed")))
+    now = edges.withColumn("kind", F.col("seed")).withColumn("score", F.when(F.col("seed").isNull(), 0.0).otherwise(1.0))
+    share = lambda k: F.sum(F.when(F.col("kind") == k, F.col("score") * F.col("n")).otherwise(0.0)) / F.sum("n")
+    kinds = F.array(*[F.struct(share(k).alias("score"), F.lit(-k).alias("k"), F.count_if(F.col("kind") == k).alias("seeds")) for k in range(len(KINDS))])
+    before = 0
+    for _ in range(rounds):
+        best = now.groupBy("pattern").agg(F.array_max(kinds).alias("b"))
+        # patterns and instances are written: joins with an aggregated side can't be split where a key is hot
+        good = cut(best.filter((F.col("b.score") >= confidence) & (F.col("b.seeds") >= support)).select("pattern", (-F.col("b.k")).alias("as"), "b.score"))
+        instances = cut(edges.filter("seed is null").join(good, "pattern").groupBy("core").agg(F.max(F.struct("score", (-F.col("as")).alias("k"))).alias("i")))
+        found = instances.count()
+        if found == before:
             break
-        instance = edges.filter("kind is null").join(pattern, "pattern").groupBy("core").agg(*[(F.sum(F.col(f"p{s}") * F.col("n")) / F.sum("n")).alias(f"i{s}") for s in S_])
-        now = edges.join(instance, "core", "left").select("pattern", "core", "n", "kind", *[F.when(F.col("kind").isNull(), F.coalesce(F.col(f"i{s}"), F.lit(0.0))).otherwise(F.col(s)).alias(s) for s in S_])
-    best = F.array_max(F.array(*[F.struct(F.col(f"ps{k}").alias("p"), F.lit(-k).alias("k"), F.col(f"c{k}").alias("c")) for k in range(len(KINDS))]))
-    return pattern.select("pattern", best.alias("b")).filter((F.col("b.p") >= confidence) & (F.col("b.c") >= support)).select("pattern", (-F.col("b.k")).alias("kind"))
+        before = found
+        kind = F.coalesce(F.col("seed"), -F.col("i.k"))
+        score = F.when(F.col("seed").isNotNull(), 1.0).otherwise(F.coalesce(F.col("i.score"), F.lit(0.0)))
+        now = edges.join(instances, "core", "left").select("pattern", "core", "n", kind.alias("kind"), score.alias("score"))
+    return good.select("pattern", F.col("as").alias("kind"))
 
 
-def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", confidence: float = CONFIDENCE, support: int = SUPPORT, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, digest, base, spans) for each row; both are arrays of (kind, start, end), kind being an index of KINDS.
+def _with_kinds(rows: DataFrame) -> DataFrame:
+    """(row, start, end, core, left, right, kind) of each token; kind is that of a base span that it overlaps, or null.
 
-    digest is the SHA-1 of the text, so that rows which share a doc_id can be told apart. Null and empty texts have no
-    spans. Places are code points of the whole text, the end is exclusive. Spans are by kind, then start.
+    Spans and tokens of a row are put in one order, so that many of both in one text stay cheap.
     """
-    t = text_of(text)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), t.alias("t")).select("doc_id", F.sha1("t").alias("digest"), base_spans(F.col("t")).alias("base"), occurrences(F.col("t")).alias("near"))
+    nothing = F.lit(None).cast("string")
+    span = rows.select("row", F.explode("base").alias("b")).select("row", "b.start", "b.end", nothing.alias("core"), nothing.alias("left"), nothing.alias("right"), F.col("b.kind").alias("own"))
+    token = rows.select("row", F.explode("near").alias("o")).select("row", "o.*", F.lit(None).cast("int").alias("own"))
+    up = Window.partitionBy("row").orderBy("start", F.col("own").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("row").orderBy(F.desc("start"), F.col("own").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    is_span = F.col("own").isNotNull()
+    ahead = F.max(F.when(is_span, F.struct("end", (-F.col("own")).alias("k")))).over(up)
+    behind = F.last(F.when(is_span, F.struct("start", F.col("own").alias("k"))), ignorenulls=True).over(down)
+    both = span.unionByName(token).withColumn("ahead", ahead).withColumn("behind", behind).filter("own is null")
+    kind = F.least(F.when(F.col("ahead.end") > F.col("start"), -F.col("ahead.k")), F.when(F.col("behind.start") < F.col("end"), F.col("behind.k")))
+    return both.select("row", "start", "end", "core", "left", "right", kind.alias("kind"))
+
+
+def _located(source: DataFrame, confidence: float, support: int, rounds: int) -> DataFrame:
+    """(own, base, spans) for each row (own, t), t being a text that isn't null."""
+    rows = source.select("own", base_spans(F.col("t")).alias("base"), occurrences(F.col("t")).alias("near"))
     rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
-    tokens = rows.select("row", "base", F.explode("near").alias("o")).select("row", "o.*", F.array_min(F.transform(F.filter("base", lambda b: (b["start"] < F.col("o.end")) & (F.col("o.start") < b["end"])), lambda b: b["kind"])).alias("kind"))
+    tokens = _with_kinds(rows)
     plain = F.col("kind").isNotNull() | F.contains("core", F.lit("@")) | (F.length(_digits(F.col("core"))) >= DIGITS)
-    seen = tokens.filter(plain).select("row", "start", "end", "core", "kind", F.explode(F.filter(F.array(F.concat(F.lit("l "), F.col("left")), F.concat(F.lit("r "), F.col("right")), F.concat_ws(" ", F.lit("b"), F.col("left"), F.lit("_"), F.col("right"))), lambda p: F.length(p) > 2)).alias("pattern"))
+    around = F.array(F.concat(F.lit("l "), F.col("left")), F.concat(F.lit("r "), F.col("right")), F.concat_ws(" ", F.lit("b"), F.col("left"), F.lit("_"), F.col("right")))
+    seen = cut(tokens.filter(plain).select("row", "start", "end", "core", "kind", F.explode(F.filter(around, lambda p: F.length(p) > 2)).alias("pattern")))
     good = _patterns(seen.select("pattern", "core", "kind"), confidence, support, rounds)
-    added = seen.filter("kind is null and end > start").join(good.withColumnRenamed("kind", "as"), "pattern").groupBy("row", "start", "end").agg(F.min("as").alias("kind")).groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).cast(S.SPAN).alias("more"))
-    joined = rows.select("row", "doc_id", "digest", "base").join(added, "row", "left")
-    return joined.select("doc_id", "digest", "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "more"))).alias("spans"))
+    spans = seen.filter("kind is null and end > start").join(good.withColumnRenamed("kind", "as"), "pattern").groupBy("row", "start", "end").agg(F.min("as").alias("kind"))
+    added = cut(spans.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).cast(S.SPAN).alias("more")))
+    every = F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "more")))
+    return rows.join(bounded(added), "row", "left").select("own", "base", every.alias("spans"))
+
+
+def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", confidence: float = CONFIDENCE, support: int = SUPPORT, rounds: int = ROUNDS) -> DataFrame:
+    """(doc_id, digest, base, spans) for each row; both are arrays of (kind, start, end), kind being an index of KINDS.
+
+    digest is the SHA-1 of the text, so that rows which share a doc_id can be told apart. Null and empty texts have no
+    spans. Places are code points of the whole text, the end is exclusive. Spans are by kind, then start. Repeated rows
+    each get their results, null ids stay null, other columns don't matter, an empty table gives no rows.
+    """
+    own = F.struct(F.col(doc_id).alias("doc_id"), F.sha1(text_of(text)).alias("digest"))
+    found = _located(docs.select(own.alias("own"), text_of(text).alias("t")), confidence, support, rounds)
+    return found.select("own.doc_id", "own.digest", "base", "spans")
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -113,13 +151,18 @@ def report(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)], F.sha2(S.written(F.col("base"), KINDS), 256).alias("base_sha256"), S.written(F.col("spans"), KINDS).alias("spans"))
 
 
-def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chars: str = "n_chars") -> DataFrame:
-    """docs with every span replaced by its kind in brackets, and the number of characters set anew. All rows stay."""
-    key, digest, spans = (fresh(docs.columns, name) for name in ("_id", "_digest", "_spans"))
-    found = find(docs, doc_id, text).filter(F.size("spans") > 0).select(F.col("doc_id").alias(key), F.col("digest").alias(digest), S.by_start(F.col("spans")).alias(spans)).dropDuplicates([key, digest])
+def redact(docs: DataFrame, text: str = "text", chars: str = "n_chars") -> DataFrame:
+    """docs with every span replaced by its kind in brackets, and the number of characters set anew. All rows stay.
+
+    Rows without spans are as they were, null texts too; each row counts for itself, so null and repeated ids and
+    repeated rows don't matter. An empty table stays empty. Texts are written once, not shuffled.
+    """
+    own = F.struct(*[F.col(c) for c in quoted(docs.columns)]).alias("own")
+    found = _located(docs.select(own, text_of(text).alias("t")), CONFIDENCE, SUPPORT, ROUNDS)
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    both = docs.join(found, F.col(doc_id).eqNullSafe(F.col(key)) & (F.sha1(text_of(text)) == F.col(digest)), "left")
-    new = F.when(F.col(spans).isNull(), F.col(text)).otherwise(S.replaced(F.col(text), F.col(spans), lambda k: F.element_at(names, k + 1)))
-    size = F.when(F.col(spans).isNull(), F.col(chars)).otherwise(F.length(text).cast(docs.schema[chars].dataType)) if chars in docs.columns else None
-    out = both.withColumn(text, new)
-    return (out.withColumn(chars, size) if size is not None else out).select(*quoted(docs.columns))
+    clean, old = F.size("spans") == 0, F.col("own")[text]
+    new = F.when(clean, old).otherwise(S.replaced(old, S.by_start(F.col("spans")), lambda k: F.element_at(names, k + 1)))
+    made = found.select("own", clean.alias("clean"), new.alias("new"))
+    kept = lambda c: F.col("own")[c]
+    size = lambda c: F.when(F.col("clean"), kept(c)).otherwise(F.length("new").cast(docs.schema[c].dataType))
+    return made.select(*[(F.col("new") if c == text else size(c) if c == chars else kept(c)).alias(c) for c in docs.columns])
