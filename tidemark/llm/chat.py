@@ -23,15 +23,21 @@ def escape(text: Column) -> Column:
 
 
 def unescape(text: Column) -> Column:
-    return F.replace(F.replace(text, F.lit("<\\|"), F.lit("<|")), F.lit("\\\\"), F.lit("\\"))
+    """The text again; a backslash before a hyphen stands for nothing, it keeps apart what would become a control string."""
+    return F.regexp_replace(text, r"\\(?:(\\)|-|(?=\|))", "$1")
 
 
 def visit(parts: Column) -> Column:
-    """struct(text, attachments) of the parts of a turn: parts of unknown type count as text, null ones as nothing."""
+    """struct(text, attachments) of the parts of a turn: parts of unknown type count as text, null ones as nothing.
+
+    Each text is escaped for itself; one that ends with "<" is marked, so that it can't make a control string with the next.
+    """
     kind = lambda p: F.lower(F.coalesce(p["type"], F.lit("text")))
     is_file = lambda p: kind(p).isin(*TOKENS)
     known = F.filter(parts, lambda p: p.isNotNull())
-    shown = F.transform(known, lambda p: F.when(is_file(p), F.concat(F.lit("<|"), kind(p), F.lit("|>"))).otherwise(escape(F.coalesce(p["text"], F.lit("")))))
+    said = lambda p: F.coalesce(p["text"], F.lit(""))
+    mark = lambda p, i: F.when(F.endswith(said(p), F.lit("<")) & (i < F.size(known) - 1), "\\-").otherwise("")
+    shown = F.transform(known, lambda p, i: F.when(is_file(p), F.concat(F.lit("<|"), kind(p), F.lit("|>"))).otherwise(F.concat(escape(said(p)), mark(p, i))))
     default = F.create_map(*[F.lit(x) for pair in TOKENS.items() for x in pair])
     files = F.transform(F.filter(known, is_file), lambda p: F.struct(kind(p).alias("type"), p["ref"].alias("ref"), F.coalesce(p["tokens"], F.element_at(default, kind(p))).alias("tokens")))
     return F.struct(F.array_join(shown, "").alias("text"), files.alias("attachments"))
@@ -69,6 +75,6 @@ def parsed(text: Column) -> Column:
 def report(done: DataFrame) -> DataFrame:
     """Figures read back from what formatted() returns."""
     learned = F.array_join(F.transform("mask", lambda m: unescape(F.substring(F.col("formatted"), m["start"] + 1, m["end"] - m["start"]))), "")
-    read = done.select("conv_id", parsed(F.col("formatted")).alias("turns"), learned.alias("learned"), F.length("formatted").cast("long").alias("formatted_chars"))
+    read = done.select("conv_id", parsed(F.col("formatted")).alias("turns"), learned.alias("learned"), F.length("formatted").cast("long").alias("formatted_chars"), F.size("attachments").cast("long").alias("n_attachments"), "expanded_tokens")
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), "formatted_chars")
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), "formatted_chars", "n_attachments", "expanded_tokens")

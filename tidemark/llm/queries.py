@@ -83,7 +83,7 @@ _CHAT_SQL = """WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coal
     e AS (SELECT *, length(replace(replace(role, '\\', '\\\\'), '<|', '<\\|')) + length(replace(replace(text, '\\', '\\\\'), '<|', '<\\|')) + length('<|start|><|says|><|end|>') AS size FROM c)
     SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
         CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-        CAST(sum(size) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id"""
+        CAST(sum(size) AS BIGINT) AS formatted_chars, CAST(0 AS BIGINT) AS n_attachments, CAST(0 AS BIGINT) AS expanded_tokens FROM e GROUP BY conv_id"""
 
 
 def oracle_sql() -> dict[str, str]:

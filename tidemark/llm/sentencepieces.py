@@ -12,6 +12,7 @@ stays apart from the piece before it when both are merged by rank, which gives t
 
 from __future__ import annotations
 
+import heapq
 import os
 import re
 from array import array
@@ -27,7 +28,7 @@ from .common import bound_batches, map_arrow, pieces, quoted, utf8
 MODEL = os.environ.get("TIDEMARK_SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
 LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
-CACHE = 1 << 18  # words of one of two generations that a worker remembers
+CACHE = 24 << 20  # letters of words and bytes of ids that each of two generations of a worker's memory holds
 PAIRS = 1 << 20  # tested pairs that it remembers
 
 
@@ -44,6 +45,7 @@ class Codec:
         self.tails = {t[i:] for t in self.ids for i in range(len(t))}
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.held = 0  # letters and bytes in words
         self.pairs: dict[tuple[str, str], bool] = {}
         pairs = {t[i : i + 2] for t in self.ids for i in range(len(t) - 1)}
         inside = {c for pair in pairs for c in pair}
@@ -76,18 +78,32 @@ class Codec:
         return cls(out, [model.get_score(i) for i in range(n)], [byte_at[b] for b in range(256)] if len(byte_at) == 256 else [], model.unk_id(), bpe)
 
     def merged(self, word: str) -> list[str]:
-        """Plain merging: again and again the best pair, the leftmost of equals."""
-        parts, scores = list(word), self.scores
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = scores.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        """Plain merging: again and again the best pair, the leftmost of equals. A heap of pairs keeps long words cheap."""
+        parts, scores, n = list(word), self.scores, len(word)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap: list[tuple] = []
+
+        def offer(i: int) -> None:
+            if i >= 0 and after[i] < n:
+                both = parts[i] + parts[after[i]]
+                s = scores.get(both)
+                if s is not None:
+                    heapq.heappush(heap, (-s, i, both))
+
+        for i in range(n - 1):
+            offer(i)
+        while heap:
+            _, i, both = heapq.heappop(heap)
+            j = after[i]
+            if j >= n or not parts[i] or parts[i] + parts[j] != both:
+                continue  # one of the two has been merged with something else since
+            parts[i], parts[j] = both, ""
+            after[i] = after[j]
+            if after[j] < n:
+                before[after[j]] = i
+            offer(i)
+            offer(before[i])
+        return [p for p in parts if p]
 
     def apart(self, a: str, b: str) -> bool:
         """Whether pieces a and b stay as they are side by side."""
@@ -167,14 +183,15 @@ class Codec:
 
     def encode_packed(self, texts: list[str]) -> list[bytes]:
         cut = [self.cut.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(self.words) > CACHE:  # words that weren't met since the last time are forgotten
-            self.older, self.words = self.words, {}
+        if self.held > CACHE:  # words that weren't met since the last time are forgotten
+            self.older, self.words, self.held = self.words, {}, 0
         known, older = self.words, self.older
         here = {w for c in cut for w in c} - known.keys()
         again = here & older.keys()
         known.update((w, older[w]) for w in again)
         new = sorted(here - again)
         known.update(zip(new, map(self.packed, self.encode_words(new))))
+        self.held += sum(100 + len(w) + len(known[w]) for w in here)  # a word and its entry take about that much besides
         return [b"".join([known[w] for w in c]) for c in cut]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
@@ -223,7 +240,10 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text") -> DataFrame
 
 
 def decode(encoded: DataFrame, model: str = MODEL, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """encoded with a column of the text that the ids stand for; null ids stand for an empty text."""
+    """encoded with a column of the text that the ids stand for; null and empty ids stand for an empty text.
+
+    All rows stay, repeated ones too; a column of that name that is there already is replaced. An empty table stays empty.
+    """
     spark = encoded.sparkSession
     bound_batches(spark)
     held = spark.sparkContext.broadcast(Codec.load(model))
