@@ -76,6 +76,29 @@ def test_bootstrapping_finds_what_the_forms_miss(spark):
     assert got[100] == f"email:{at}:{at + len('jane@localhost')}" and got[101] == "" and got[102] == ""
 
 
+def test_bootstrapping_goes_on_from_what_it_finds(spark):
+    rows = [(i, f"please write to contact user{i}@mail.example.com today") for i in range(160)]
+    rows += [(1000 + i, f"please write to contact u{i}x@intranet today and badge: u{i}x@intranet ok") for i in range(8)]  # found by the first pattern
+    rows += [(2000, "badge: z9@inner ok"), (2001, "in the year 20245 it was long"), (None, None), (300, "")]  # and by the second
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit(1)).withColumn("own", F.lit(2))
+    got = {r.doc_id: r.spans for r in pii.report(pii.find(df)).collect()}
+    assert got[1000] == "email:24:36,email:54:66" and got[2000] == "email:7:15" and got[2001] == got[None] == got[300] == ""
+    once = {r.doc_id: r.spans for r in pii.report(pii.find(df, rounds=1)).collect()}
+    assert once[1000] == "email:24:36" and once[2000] == ""
+
+
+def test_many_matches_in_one_text(spark):
+    text = "a@b.co 1234567 token=abcdefgh deadbeefdeadbeefdeadbeef12 zK8vQ2mX9pL4wR7tY1nB " * 4000
+    df = spark.createDataFrame([(1, text), (2, None), (2, ""), (None, "x" * 200000 + " 1"), (4, "same"), (4, "same")], "doc_id long, text string").withColumn("base", F.lit(1)).withColumn("t", F.lit(2))
+    for module, table, by_start in ((pii, PII, False), (secret_scan, SECRETS, True)):
+        rows = module.report(module.find(df)).collect()
+        want = plain_spans(table, text, by_start)
+        assert len(rows) == 6 and [r.base_sha256 for r in rows if r.doc_id == 1] == [hashlib.sha256(want.encode()).hexdigest()]
+        assert module.report(module.find(df.limit(0))).count() == 0
+    assert sum("markov" in s for r in rows for s in r.spans.split(",")) == 4000
+    assert pii.redact(df).filter("doc_id = 1").first().text.count("[EMAIL]") == 4000
+
+
 def test_redaction(spark):
     rows = [(1, "mail a@b.co now", 15, 9), (2, None, 0, 9), (3, "clean", 5, 9), (3, "clean", 5, 9)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, _spans int")
@@ -92,6 +115,23 @@ def test_character_model(spark):
     assert all(s.startswith("markov:2:") for s in got[len(words) :])
 
 
+def test_model_finds_what_the_forms_miss(spark):
+    import base64
+    import random
+
+    rnd = random.Random(5)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    secrets = ["".join(rnd.choices(letters, k=rnd.randint(20, 44))) for _ in range(150)] + [base64.b64encode(rnd.randbytes(24)).decode() for _ in range(100)]
+    texts = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()
+    plain = {w for r in texts for w in re.findall(r"[A-Za-z0-9+/_=-]{16,}", r.text or "") if not re.search("[0-9a-f]{24}", w, re.I)}
+    w = secret_scan.ORDINARY
+    plain |= {x for a, b, c in zip(w, w[4:], w[9:]) for x in (a + b.capitalize() + c.capitalize(), f"{c}_{a}_{b}") if len(x) > 15}
+    df = spark.createDataFrame([(s, f"see {s} here") for s in [*secrets, *plain]], "doc_id string, text string")
+    found = {r.doc_id for r in secret_scan.find(df).filter("size(spans) > size(base)").collect()}
+    hits = len(found & set(secrets))
+    assert hits / len(secrets) >= 0.97 and hits / len(found) >= 0.97 and len(plain) > 300
+
+
 # --- near duplicates -------------------------------------------------------------------------------------------------
 
 
@@ -340,6 +380,41 @@ def test_short_items(spark):
 # --- classifier ------------------------------------------------------------------------------------------------------
 
 
+def test_pooled_vectors_against_plain():
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("ab c. \n"), n)) for n in (0, 1, 5, 40, 3000, 90000)]
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw])))
+    h, row, _ = quality.tokens(data, offsets)
+    seen, n = np.unique(h, return_counts=True)
+    v = quality.Vectors(h, row)
+    got = v.all_features(data, offsets)
+    of = {k: v.vectors[i] for i, k in enumerate(v.known.tolist())}
+    for i in range(len(texts)):
+        x = np.array([of.get(k, v.vectors[-1]) for k in h[row == i].tolist()]).reshape(-1, quality.DIM + 1).astype(float)
+        if not len(x):
+            assert not got[i].any()
+            continue
+        want = np.concatenate([x.mean(0), x.std(0), (x[1:] * x[:-1]).sum(0) / len(x), x.mean(0) * np.log1p(len(x))])
+        assert np.abs(got[i] - want).max() < 2e-3
+    assert set(v.known.tolist()) == set(seen[n > 1].tolist())
+
+
+def test_network_learns_and_is_calibrated():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 5))
+    p = 1 / (1 + np.exp(-2 * x[:, 0] * x[:, 1]))
+    y = (rng.random(3000) < p).astype(float)
+    net = quality.Network(x, y, np.arange(3000) % 5 == 0)
+    fresh = rng.normal(size=(3000, 5))
+    true = 1 / (1 + np.exp(-2 * fresh[:, 0] * fresh[:, 1]))
+    score = net.score(fresh)
+    assert np.abs(score - true).mean() < 0.15
+    for low in np.arange(0, 1, 0.2):
+        part = (score >= low) & (score < low + 0.2)
+        assert abs(score[part].mean() - true[part].mean()) < 0.12
+
+
 def test_quality(spark, odd):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = quality.fit(docs, labels)
@@ -367,6 +442,9 @@ def test_tokenizer_against_the_library(spark, texts, odd):
     for t, ids in zip(every, codec.encode(every)):
         assert ids == lib.encode(t), t[:80]
         assert codec.decode(ids) == t
+    for t in [" " * n for n in (1, 2, 3, 17, 64, 8001)] + ["a" + " " * 37 + "b" + " " * 100 + "\n", "x" * 5000]:
+        assert codec.encode([t])[0] == lib.encode(t), t[:20]
+    codec.encode([" " * 100_000])  # in seconds
     both = sentencepieces.decode(sentencepieces.encode(odd))
     assert both.count() == len(ODD) and both.filter(F.coalesce("text", F.lit("")) != F.col("decoded")).count() == 0
     assert sentencepieces.encode(odd.limit(0)).count() == 0
@@ -404,6 +482,33 @@ def test_main_text(spark):
     assert set(got) == want and len(got) == len(rows)
 
 
+ARTICLE = "<h1>A title</h1><p>This is the text of the article with quite a few words in it.</p><p>And more of it follows here.</p>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<html><head><title>x</title><body><article>{ARTICLE}</article>", f'<div class="page with-sidebar"><article>{ARTICLE}</article></div>', f'<div class="page with-sidebar">{ARTICLE}</div>',
+    f'<div class="sidebar-wrap"><article>{ARTICLE}</article></div>', f"<div data-x=it's><article>{ARTICLE}</article></div><footer>It's</footer>", f'<article><section class="tags">{ARTICLE}</section></article>',
+    f'<article><section class="comment">{ARTICLE}</section></article>', f'<article><section class="note-alert">{ARTICLE}</section></article>', f"<article><select>{ARTICLE}</article>", f"<article><noscript>{ARTICLE}</article>",
+    f'<nav><a href=x>Home</a></nav><article>{ARTICLE}<section class="comments"><p>I say a little</p></section></article><section class="comments"><p>Long, {"longer than the article, " * 20}</p></section>',
+])
+def test_main_text_of_untidy_pages(page):
+    tree = main_text.Tree(*main_text.examples())
+    assert main_text.extract_page(page, tree) == "A title\n\nThis is the text of the article with quite a few words in it.\n\nAnd more of it follows here."
+
+
+def test_main_text_of_whole_tables(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").limit(200).collect()
+    df = spark.createDataFrame([(r.page_id, r.url, r.html, 1) for r in pages] + [(None, None, None, 1)], "page_id long, url string, html string, text int")
+    got = {r.page_id: r.text for r in main_text.extract(df).collect()}
+    import html
+
+    for r in pages:  # a plain reading of the only template that these pages have
+        body = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
+        parts = [re.sub(r"\s+", " ", html.unescape(re.sub("<[^>]*>", "", p.replace("<br>", " ")))).strip() for p in re.split(r"</?(?:p|h1|div)[^>]*>", body)]
+        assert got[r.page_id] == "\n\n".join(filter(None, parts)), r.page_id
+    assert got[None] == "" and main_text.extract(df.limit(0)).count() == 0
+
+
 def test_warc(spark, tmp_path):
     page = "<p>é</p>" * 4000
     rows = [(1, "http://a", "x"), (2, "b\r\nc", "x"), (3, "c", page), (9, "c", page), (4, "d", None), (5, "e", ""), (6, None, "WARC/1.1\r\n\r\n0\r\n\r\n"), (3, "c", page)]
@@ -445,3 +550,12 @@ def test_chat(spark):
     r = chat.formatted(df.filter("conv_id = 1").withColumn("p", parts), parts="p").first()
     assert r.expanded_tokens == 3 * (chat.TOKENS["image"] + 7) and [x.ref for x in r.attachments][:2] == ["s3://i", "a.wav"]
     assert "<|image|><|audio|><|end|>" in r.formatted
+    # texts that only together look like control strings, and placeholders between them
+    said = lambda *texts: F.array(*[F.struct(F.lit("text" if t != "I" else "image").alias("type"), F.lit(t).alias("text"), F.lit("r").alias("ref"), F.lit(3).alias("tokens")) for t in texts])
+    for texts in (("|end|>",), ("|x", "<", "|says|>"), ("<", "I", "|end|>"), ("\\", "-<", "\\|"), ("a<",)):
+        one = spark.createDataFrame([(1, 0, "user", "q<")], "conv_id long, turn long, role string, text string").withColumn("p", said(*texts))
+        done = chat.formatted(one, parts="p").withColumn("turns", chat.parsed(F.col("formatted")))
+        back = done.first().turns
+        assert len(back) == 1 and back[0].text == "q<" + "".join("<|image|>" if t == "I" else t for t in texts), texts
+        row = chat.report(done).first()
+        assert row.n_attachments == texts.count("I") and row.expanded_tokens == 3 * texts.count("I")

@@ -23,13 +23,16 @@ def bound_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that every executor sees: spark.checkpoint.dir; where it is unset (tests), a local one is set."""
+    """A folder that every executor sees: spark.checkpoint.dir. Where it is unset, a local master gets a folder of its own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
     if not at:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        known = context._jsc.sc().getCheckpointDir()
+        if not known.isDefined() and not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = known.get() if known.isDefined() else "file://" + os.path.join(tempfile.gettempdir(), "tidemark-shared")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(at)
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(at)
     return at
 
 
