@@ -73,7 +73,7 @@ class Vectors:
         self.vectors[:-1, :DIM] = total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
         self.vectors[-1, DIM] = 1
 
-    def features(self, data: np.ndarray, offsets: np.ndarray, chunk: int = 1 << 15) -> np.ndarray:
+    def features(self, data: np.ndarray, offsets: np.ndarray, chunk: int = 1 << 11) -> np.ndarray:
         """The pooled vectors of each text; zeros for a text without tokens."""
         n = len(offsets) - 1
         h, row, _ = tokens(data, offsets)
@@ -84,7 +84,8 @@ class Vectors:
         for i in range(0, len(h), chunk):
             begin = max(0, i - 1)  # the last token of the chunk before is the first one's neighbour
             r, x = row[begin : i + chunk], self.vectors[at[begin : i + chunk]]
-            both = x[1:] * x[:-1] * (r[1:] == r[:-1])[:, None]
+            both = x[1:] * x[:-1]
+            both[r[1:] != r[:-1]] = 0
             for total, values, rows in ((mean, x[i - begin :], r[i - begin :]), (square, x[i - begin :] ** 2, r[i - begin :]), (beside, both, r[1:])):
                 edge = np.flatnonzero(np.diff(rows, prepend=-1))
                 if len(edge):
