@@ -37,7 +37,9 @@ PAIR = r"""(\w[\w.\-]*)=("(?:[^"\\]|\\.)*"|'[^']*'|\S+)"""
 PAIR_KEYS = ["level", "lvl", "severity", "msg", "message", "time", "ts", "timestamp", "logger", "service", "caller"]
 LEVEL_TOKENS = "emerg emergency alert crit critical fatal severe error err warn warning notice info debug trace".split()
 COMPONENT = r"^[A-Za-z][\w.\-/]*(?:\[\d+\])?:?$"
+# How a continuation line begins.
 CONTINUATION = r'^[ \t]+\S|^(?:at\s+\S|Caused by:|\.\.\.\s*\d+\s+more|Traceback \(most recent call last\)|File ")'
+# Levels of two cloud vendors.
 GCP = {"DEFAULT": "INFO", "DEBUG": "DEBUG", "INFO": "INFO", "NOTICE": "NOTICE", "WARNING": "WARN", "ERROR": "ERROR", "CRITICAL": "CRITICAL", "ALERT": "ALERT", "EMERGENCY": "EMERGENCY"}
 AZURE = {"informational": "INFO", "information": "INFO", "verbose": "DEBUG", "warning": "WARN", "error": "ERROR", "critical": "CRITICAL"}
 FALLBACKS = ("PLAINTEXT", "UNKNOWN")
@@ -247,10 +249,23 @@ def sticky(lines: DataFrame, source: str = "source", order: str = "idx", value:
     return lines.withColumn("own_format", own).withColumn("format", F.coalesce(F.last(F.when(~F.col("own_format").isin(*FALLBACKS), F.col("own_format")), ignorenulls=True).over(w), F.col("own_format")))
 
 
-def stats(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Lines, blank ones, continuations and lines in fallback formats."""
+def stats(lines: DataFrame, value: str = "value", order: str = "idx") -> DataFrame:
+    """Lines, blank ones, continuations, lines in fallback formats, changes of format, and the first one.
+
+    Blank lines have no format; changes are counted between concrete formats, in order.
+    """
     text = F.coalesce(F.col(value), F.lit(""))
     blank = strip(text) == ""
-    return lines.select(blank.alias("b"), text.rlike(CONTINUATION).alias("c"), detect(text).alias("f")).agg(
-        F.count("*").alias("lines"), F.count_if("b").alias("blank"), F.count_if(F.col("c") & ~F.col("b")).alias("continuations"), F.count_if(F.col("f") == "PLAINTEXT").alias("fallback")
-    )
+    seen = lines.select(F.col(order).alias("o"), blank.alias("b"), text.rlike(CONTINUATION).alias("c"), detect(text).alias("f"))
+    counts = seen.agg(F.count("*").alias("lines"), F.count_if("b").alias("blank"), F.count_if(F.col("c") & ~F.col("b")).alias("continuations"), F.count_if(F.col("f") == "PLAINTEXT").alias("fallback"), F.min_by("f", F.when(~F.col("b"), F.col("o"))).alias("first_format"))
+    return counts.join(_switches(seen.filter(~F.col("f").isin(*FALLBACKS)).select("o", "f")))
+
+
+def _switches(seen: DataFrame) -> DataFrame:
+    """(switches) of rows (o, f) in order of o: within ranges of it, and between one range and the next."""
+    ranged = seen.repartitionByRange("o").withColumn("p", F.spark_partition_id())
+    own = Window.partitionBy("p").orderBy("o")
+    inside = ranged.withColumn("changed", (F.col("f") != F.lag("f").over(own)).cast("long"))
+    parts = inside.groupBy("p").agg(F.coalesce(F.sum("changed"), F.lit(0)).alias("n"), F.min_by("f", "o").alias("a"), F.max_by("f", "o").alias("z"))
+    met = parts.withColumn("before", F.lag("z").over(Window.orderBy("p")))  # one row a range
+    return met.agg(F.coalesce(F.sum(F.col("n") + F.when(F.col("before") != F.col("a"), 1).otherwise(0)), F.lit(0)).alias("switches"))

@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in spark.checkpoint.dir; where none is set, a local folder for tests. Rows are fixed from here on."""
+    """Checkpoint in spark.checkpoint.dir; only a local master may do without it. Rows are fixed from here on."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file:///tmp/tidemark-shared")
+        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not at and context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(at or "file:///tmp/tidemark-shared")
     return df.checkpoint()

@@ -85,6 +85,36 @@ def in_window(found: DataFrame, low: Column | None = None, high: Column | None =
     return out.limit(most) if most else out
 
 
+#: Orders in which families are listed: latest first, worst first, by service, or earliest first.
+ORDERS = {
+    "recent": lambda: [F.desc("last_ts"), F.desc("count"), "level_u", "template"],
+    "severity": lambda: [severity.rank(F.col("level_u")), F.desc("max_score"), F.desc("count"), "level_u", "template"],
+    "service": lambda: [F.element_at("services", 1), severity.rank(F.col("level_u")), F.desc("count"), "level_u", "template"],
+    "time": lambda: ["first_ts", F.desc("count"), "level_u", "template"],
+}
+
+
+def sorted_by(found: DataFrame, by: str) -> DataFrame:
+    """Families in one of ORDERS; ties go by count, level and template."""
+    return found.orderBy(*ORDERS[by]())
+
+
+def of_impact(found: DataFrame, impact: str, column: str = "impact") -> DataFrame:
+    """Families of one impact (blocking, non-blocking, unknown); one without an impact counts as unknown."""
+    return found.filter(F.coalesce(F.col(column), F.lit("unknown")) == impact)
+
+
+def with_badges(found: DataFrame, routine: DataFrame) -> DataFrame:
+    """Families with the routineness of their template, 0 where it isn't known. routine: (template, routineness)."""
+    known = routine.groupBy("template").agg(F.max("routineness").alias("routineness"))
+    return found.join(known, "template", "left").withColumn("routineness", F.coalesce("routineness", F.lit(0.0)))
+
+
+def sub_scores(scored: DataFrame, components: list[str]) -> DataFrame:
+    """For each family of flagged lines the largest score of each component, null as 0."""
+    return scored.filter("flagged").groupBy("level_u", "template").agg(*[F.coalesce(F.max(c), F.lit(0.0)).alias(c) for c in components])
+
+
 def fails(found: DataFrame, level: str) -> bool:
     """Whether any family is as bad as a level, or worse: the gate of a build."""
     return bool(found.filter(severity.rank(F.col("level_u")) <= severity.RANK.get(level.upper(), severity.UNKNOWN_RANK)).limit(1).count())

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import formats, masks, severity, text, times, traces
 from tidemark.operators import assess, detectors, evaluate, families, incidents, signals, vectors
 from tidemark.plans import detect, turbo
-from tidemark.sources import views
+from tidemark.sources import files, views
 from tidemark.sources.views import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -573,3 +573,145 @@ def neighbours_embeddings(spark, sf_dir):
 def clusters_embeddings(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), F.lit(1.0).alias("weight"))
     return vectors.clusters(e, 1.05)
+
+
+# --- lines written in every format, and read again -------------------------------------------------------------------
+
+# One row for each format: its name, the line, and the timestamp, level and service that a reader gets. {stamp} is
+# written by the patterns beside it, in Spark's and in DuckDB's letters. What a reader doesn't find has a fixed value.
+_WRITTEN = [
+    ("STANDARD", "{stamp} {level} [{service}] {message}", "{stamp}", "yyyy-MM-dd'T'HH:mm:ss'Z'", "%Y-%m-%dT%H:%M:%SZ", None, None),
+    ("PLAIN_STANDARD", "{stamp} {level} {service} {message}", "{stamp}", "yyyy-MM-dd'T'HH:mm:ss'Z'", "%Y-%m-%dT%H:%M:%SZ", None, None),
+    ("APP_LOG", "{stamp} {level} [main] {service}: {message}", "{stamp}", "yyyy-MM-dd HH:mm:ss',120'", "%Y-%m-%d %H:%M:%S,120", None, None),
+    ("ZK_LOG", "{stamp} - {level} [worker:7] - {message}", "{stamp}", "yyyy-MM-dd HH:mm:ss',120'", "%Y-%m-%d %H:%M:%S,120", None, "zookeeper"),
+    ("SPARK_LOG", "{stamp} {level} {service}: {message}", "{stamp}", "yy/MM/dd HH:mm:ss", "%y/%m/%d %H:%M:%S", None, None),
+    ("APACHE_ERR", "[{stamp}] [{level}] {message}", "{stamp}", "EEE MMM dd HH:mm:ss yyyy", "%a %b %d %H:%M:%S %Y", None, "apache"),
+    ("WINCBS", "{stamp}, {level} CBS {message}", "{stamp}", "yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S", None, "CBS"),
+    ("HDFS", "{stamp} 148 {level} dfs.{service}: {message}", "{stamp}", "yyMMdd HHmmss", "%y%m%d %H%M%S", None, "dfs.{service}"),
+    ("HPC", "- 1131566461 {stamp} {service} {message}", "{stamp}", "yyyy.MM.dd", "%Y.%m.%d", "INFO", None),
+    ("HEALTHAPP", "{stamp}:606|{service}|3000|{message}", "{stamp}:606", "yyyyMMdd-HH:mm:ss", "%Y%m%d-%H:%M:%S", "INFO", None),
+    ("PROXIFIER", "[{stamp}] chrome.exe - {message}", "{stamp}", "MM.dd HH:mm:ss", "%m.%d %H:%M:%S", "INFO", "chrome.exe"),
+    ("SYSLOG", "<14>{stamp} host {service}: {message}", "{stamp}", "MMM dd HH:mm:ss", "%b %d %H:%M:%S", "INFO", None),
+    ("KUBE", "{stamp} stdout F {message}", "{stamp}", "yyyy-MM-dd'T'HH:mm:ss'.5Z'", "%Y-%m-%dT%H:%M:%S.5Z", "INFO", "unknown"),
+    ("LOGFMT", 'time={stamp} level={level} service={service} msg="{message}"', "{stamp}", "yyyy-MM-dd'T'HH:mm:ss'Z'", "%Y-%m-%dT%H:%M:%SZ", None, None),
+    ("GENERIC", "{stamp} {service}: {message}", "{stamp}", "yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S", "INFO", None),
+    ("PLAINTEXT", "{message}", "", "yyyy", "%Y", "INFO", "unknown"),
+]
+_FIELDS_SQL = "CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'CRITICAL' ELSE 'INFO' END AS level, 'svc-' || (user_id % 6) AS service, 'user ' || user_id || ' did step ' || (event_id % 97) AS message"
+
+
+def _fill_sql(form: str) -> str:
+    parts = [f"{x}" if i % 2 else _q(x) for i, x in enumerate(form.replace("{", "\0").replace("}", "\0").split("\0"))]
+    return "(" + " || ".join(parts) + ")"
+
+
+def _written(spark, sf_dir):
+    """(idx, value, ts): every event in one of the formats, by turns."""
+    e = table(spark, sf_dir, "events")
+    level = F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "signup", "CRITICAL").otherwise("INFO")
+    fields = {
+        "level": level, "service": F.concat(F.lit("svc-"), (F.col("user_id") % 6).cast("string")),
+        "message": F.concat(F.lit("user "), F.col("user_id").cast("string"), F.lit(" did step "), (F.col("event_id") % 97).cast("string")),
+    }
+    value = F.lit("")
+    for k, (_, form, _, stamp, *_) in enumerate(_WRITTEN):
+        parts = form.replace("{", "\0").replace("}", "\0").split("\0")
+        own = fields | {"stamp": F.date_format("ts", stamp)}
+        value = F.when(F.col("event_id") % len(_WRITTEN) == k, F.concat(*[own[x] if i % 2 else F.lit(x) for i, x in enumerate(parts)])).otherwise(value)
+    return views.spread(e).select(F.col("event_id").alias("idx"), value.alias("value"), "ts")
+
+
+@query("WITH e AS (SELECT *, " + _FIELDS_SQL + " FROM events) " + " UNION ALL ".join(
+    f"SELECT event_id AS idx, {_q(name)} AS format, replace({_q(time)}, '{{stamp}}', strftime(ts, {_q(duck)})) AS timestamp, {_q(level) if level else 'level'} AS level, {_fill_sql(service) if service else 'service'} AS service, message FROM e WHERE event_id % {len(_WRITTEN)} = {k}"
+    for k, (name, _, time, _, duck, level, service) in enumerate(_WRITTEN)))
+def parse_formats_events(spark, sf_dir):
+    return formats.parsed(_written(spark, sf_dir)).select("idx", "format", "timestamp", "level", "service", "message")
+
+
+@query(f"""WITH l AS (SELECT event_id AS o, event_id % {len(_WRITTEN)} AS k FROM events), c AS (SELECT o, k, lag(k) OVER (ORDER BY o) AS b FROM l WHERE k <> {len(_WRITTEN) - 1})
+    SELECT (SELECT count(*) FROM l) AS lines, 0 AS blank, 0 AS continuations, (SELECT count(*) FROM l WHERE k = {len(_WRITTEN) - 1}) AS fallback, (SELECT count(*) FROM c WHERE b <> k) AS switches, 'STANDARD' AS first_format""")
+def parse_stats_events(spark, sf_dir):
+    return formats.stats(_written(spark, sf_dir))
+
+
+_PIECES = "SELECT user_id % 40 AS source, event_id AS idx, CASE WHEN event_id % 3 = 0 THEN 'entry ' || event_id ELSE '  at frame ' || event_id END AS value FROM events"
+
+
+@query(f"""WITH l AS ({_PIECES}), m AS (SELECT *, sum(CASE WHEN idx % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY idx) AS island FROM l),
+    p AS (SELECT *, (row_number() OVER (PARTITION BY source, island ORDER BY idx) - 1) // 201 AS part FROM m)
+    SELECT source, min(idx) AS idx, string_agg(trim(value), ' | ' ORDER BY idx) AS value, count(*) AS n_lines FROM p GROUP BY source, island, part""")
+def fold_events(spark, sf_dir):
+    i = F.col("event_id").cast("string")
+    value = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("entry "), i)).otherwise(F.concat(F.lit("  at frame "), i))
+    return formats.fold(table(spark, sf_dir, "events").select((F.col("user_id") % 40).alias("source"), F.col("event_id").alias("idx"), value.alias("value"))).drop("raw")
+
+
+@query(" UNION ALL ".join(f"SELECT event_id AS idx, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS label, 'took ' || user_id AS message, '{kind}' AS kind FROM events" for kind in ("bgl", "labeled", "jsonl")))
+def labelled_lines_events(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("idx"), (F.col("event_type") == "error").alias("bad"), F.concat(F.lit("took "), F.col("user_id").cast("string")).alias("m"))
+    lines = {
+        "bgl": F.concat(F.when(F.col("bad"), "KERNDTLB").otherwise("-"), F.lit(" "), "m"), "labeled": F.concat(F.when(F.col("bad"), "1").otherwise("0"), F.lit("\t"), "m"),
+        "jsonl": F.to_json(F.struct(F.col("bad").cast("int").alias("label"), F.col("m").alias("line"))),
+    }
+    every = [files.labelled(e.select("idx", v.alias("value")), kind).withColumn("kind", F.lit(kind)) for kind, v in lines.items()]
+    return every[0].unionByName(every[1]).unionByName(every[2])
+
+
+@query("SELECT d.doc_id AS idx, CASE WHEN l.quality = 0 THEN 1 ELSE 0 END AS label, 'got blk_' || d.doc_id || ' of ' || d.source AS message FROM documents d LEFT JOIN labels l USING (doc_id)")
+def block_labels_documents(spark, sf_dir):
+    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), F.concat(F.lit("got blk_"), F.col("doc_id").cast("string"), F.lit(" of "), "source").alias("value"))
+    blocks = table(spark, sf_dir, "labels").select(F.concat(F.lit("blk_"), F.col("doc_id").cast("string")).alias("BlockId"), F.when(F.col("quality") == 0, "Anomaly").otherwise("Normal").alias("Label"))
+    return files.block_labels(lines, blocks)
+
+
+@query("SELECT event_id AS idx, CAST((event_id % 5) * 3600 + (event_id % 60) * 60 + (user_id % 50) AS DOUBLE) AS seconds, epoch(date_trunc('second', ts)) AS spelled, CASE WHEN user_id < 60 THEN user_id || 's' WHEN user_id < 3600 THEN (user_id // 60) || 'm' WHEN user_id < 86400 THEN (user_id // 3600) || 'h' ELSE (user_id // 86400) || 'd' END AS shown FROM events")
+def times_events(spark, sf_dir):
+    """Durations, timestamps in four spellings, and spans of time in their largest unit."""
+    i, u = F.col("event_id"), F.col("user_id")
+    text = F.concat((i % 5).cast("string"), F.lit("h"), (i % 60).cast("string"), F.lit("m"), (u % 50).cast("string"), F.lit("s"))
+    spelled = F.when(i % 4 == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(i % 4 == 1, F.date_format("ts", "[yyyy-MM-dd HH:mm:ss]")).when(i % 4 == 2, F.date_format("ts", "yyyy/MM/dd HH:mm:ss")).otherwise(F.concat(F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"), F.lit(" +0000")))
+    return table(spark, sf_dir, "events").select(i.alias("idx"), times.duration(text).alias("seconds"), F.unix_seconds(times.event_time(spelled)).cast("double").alias("spelled"), times.humanised(u).alias("shown"))
+
+
+_KNEE = """WITH e AS (SELECT vec_id AS id, embedding AS v FROM embeddings), p AS (SELECT a.id, b.id AS id2, list_sum(list_transform(range(1, 65), lambda i: (CAST(a.v[i] AS DOUBLE) - b.v[i]) ** 2)) AS d2 FROM e a, e b),
+    k AS (SELECT id, sqrt(d2) AS kdist FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, id2 <> id, id2) AS rn FROM p) WHERE rn = 5),
+    a AS (SELECT kdist, row_number() OVER (ORDER BY kdist, id) - 1 AS i, count(*) OVER () AS n, min(kdist) OVER () AS y0, max(kdist) OVER () AS y1 FROM k)
+    SELECT round(kdist, 5) AS eps FROM a ORDER BY round(abs((y1 - y0) * i / (n - 1) - kdist + y0) / sqrt(1 + (y1 - y0) ** 2), 12) DESC, i LIMIT 1"""
+
+
+@query(_KNEE)
+def knee_embeddings(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    return vectors.knee(vectors.all_neighbour_distances(e), 0.0, 1e9).select(F.round("eps", 5).alias("eps"))
+
+
+# --- how families are listed -----------------------------------------------------------------------------------------
+
+_FAMILY = "fam AS (SELECT level_u, template, count(*) AS count, round(max(score), 4) AS max_score, list_sort(list(DISTINCT service))[1] AS service, min(ts) AS first_ts, max(ts) AS last_ts FROM g WHERE flagged GROUP BY 1, 2)"
+_BY_RANK = "CASE level_u WHEN 'CRITICAL' THEN 0 ELSE 1 END"
+
+
+@query(_FLAGGED + f""", {_FAMILY} SELECT level_u, template, row_number() OVER (ORDER BY last_ts DESC, count DESC, level_u, template) AS recent, row_number() OVER (ORDER BY {_BY_RANK}, max_score DESC, count DESC, level_u, template) AS severity,
+    row_number() OVER (ORDER BY service, {_BY_RANK}, count DESC, level_u, template) AS service, row_number() OVER (ORDER BY first_ts, count DESC, level_u, template) AS time FROM fam""")
+def orders_of_families_events(spark, sf_dir):
+    found = families.families(_flagged(spark, sf_dir))
+    return found.select("level_u", "template", *[F.row_number().over(Window.orderBy(*by())).alias(name) for name, by in families.ORDERS.items()])
+
+
+@query(_FLAGGED + f", {_FAMILY} SELECT level_u, template, count FROM fam WHERE level_u <> 'CRITICAL'")
+def impact_events(spark, sf_dir):
+    found = families.families(_flagged(spark, sf_dir)).withColumn("impact", F.when(F.col("level_u") == "CRITICAL", "blocking"))
+    return families.of_impact(found, "unknown").select("level_u", "template", "count")
+
+
+@query(_FLAGGED + " SELECT level_u, template, round(max(score), 4) AS severity, round(max(idx % 10 / 10.0), 4) AS burst FROM g WHERE flagged GROUP BY 1, 2")
+def sub_scores_events(spark, sf_dir):
+    scored = _flagged(spark, sf_dir).withColumn("severity", F.col("score")).withColumn("burst", F.col("idx") % 10 / 10)
+    return families.sub_scores(scored, ["severity", "burst"]).select("level_u", "template", F.round("severity", 4).alias("severity"), F.round("burst", 4).alias("burst"))
+
+
+@query(_FLAGGED + f""", {_FAMILY}, r AS (SELECT template, round(count(DISTINCT idx % 10) / 10.0, 4) AS routineness FROM g WHERE level_u = 'ERROR' GROUP BY 1) SELECT level_u, fam.template, count, coalesce(routineness, 0) AS routineness FROM fam LEFT JOIN r USING (template)""")
+def badges_events(spark, sf_dir):
+    lines = _flagged(spark, sf_dir)
+    routine = lines.filter("level_u = 'ERROR'").groupBy("template").agg(F.round(F.count_distinct(F.col("idx") % 10) / 10, 4).alias("routineness"))
+    return families.with_badges(families.families(lines), routine).select("level_u", "template", "count", "routineness")
