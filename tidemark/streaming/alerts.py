@@ -39,25 +39,31 @@ def cooled(alerts: DataFrame, cooldown: float = COOLDOWN) -> DataFrame:
 def capped(sent: DataFrame, per_hour: int = PER_HOUR) -> DataFrame:
     """Of alerts that may go out, those with fewer than per_hour sent in the hour before, in order of t.
 
-    At most per_hour go out in any hour, so the first per_hour of each whole hour, and what a pass over those keeps, is
-    enough; that pass holds per_hour times in memory.
+    The rule looks back an hour at what it did itself. An hour of the clock without any alert forgets all of that, so the
+    stretches of hours between such gaps are gone through apart, each in order, holding per_hour times in memory. Only
+    hours, not alerts, are numbered in one place. Equal times go by idx; alerts without a time never go out.
     """
-    in_hour = F.row_number().over(Window.partitionBy(F.floor(F.col("t") / 3600)).orderBy("t", "idx"))
-    few = sent.withColumn("_n", in_hour)
+    hourly = sent.filter("t IS NOT NULL").withColumn("_hour", F.floor(F.col("t") / 3600))
+    hours = hourly.select("_hour").distinct()
+    gap = F.col("_hour") - F.lag("_hour").over(Window.orderBy("_hour")) > 1
+    stretches = hours.withColumn("_stretch", F.sum(F.coalesce(gap, F.lit(False)).cast("int")).over(Window.orderBy("_hour")))
+    placed = hourly.join(stretches, "_hour").drop("_hour")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         stamps: list[float] = []
+        stretch = None
         for pdf in batches:
             keep = []
-            for t in pdf["t"]:
-                stamps = [s for s in stamps if t - s < 3600]
+            for t, s in zip(pdf["t"], pdf["_stretch"]):
+                stamps = [x for x in stamps if t - x < 3600] if s == stretch else []
+                stretch = s
                 keep.append(len(stamps) < per_hour)
                 if keep[-1]:
                     stamps.append(t)
             yield pdf[keep]
 
-    ordered = few.drop("_n").coalesce(1).sortWithinPartitions("t", "idx")
-    return ordered.mapInPandas(run, ordered.schema)
+    ordered = placed.repartition("_stretch").sortWithinPartitions("_stretch", "t", "idx")
+    return ordered.mapInPandas(run, ordered.schema).drop("_stretch")
 
 
 class Dispatcher:
