@@ -5,10 +5,11 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import traces
 from tidemark.operators import families
 from tidemark.plans import detect
 from tidemark.sources import files, sinks
-from tidemark.streaming import alerts, live
+from tidemark.streaming import alerts, live, load, watch
 
 
 def test_files_keep_their_order(spark, tmp_path):
@@ -79,6 +80,16 @@ def test_alert_rules(spark):
     assert [r["t"] for r in alerts.cooled(df).orderBy("t").collect()] == [0.0, 300.0, 900.0]
     many = spark.createDataFrame([(i, float(i), "E", "s", "m") for i in range(100)], "idx long, t double, level string, service string, message string")
     assert alerts.capped(many, 30).count() == 30
+    gaps = [(i, float(t), "E", "s", "m") for i, t in enumerate([*range(0, 4000, 100), *range(20000, 20050), 90000])]
+    sparse = spark.createDataFrame(gaps, "idx long, t double, level string, service string, message string")
+    want, stamps = [], []
+    for _, t, *_ in gaps:
+        stamps = [x for x in stamps if t - x < 3600]
+        if len(stamps) < 30:
+            stamps.append(t)
+            want.append(t)
+    assert [r["t"] for r in alerts.capped(sparse, 30).orderBy("t").collect()] == want
+    assert alerts.capped(sparse.limit(0), 30).count() == 0
     sent = []
 
     class Good:
@@ -126,3 +137,37 @@ def test_streams(spark, tmp_path):
         q = df.writeStream.format("memory").queryName(f"s{k}").option("checkpointLocation", str(tmp_path / f"m{k}")).trigger(availableNow=True).outputMode("append").start()
         q.awaitTermination(120)
         assert spark.table(f"s{k}").count() > 0
+
+
+def test_live_modes_and_load(spark):
+    rows = [(i, "2024-01-01 00:00:00", "CRITICAL" if i % 50 == 7 else "INFO", "s", f"request {i} served" if i % 50 != 7 else "disk failure") for i in range(200)]
+    df = spark.createDataFrame(rows, "idx long, ts string, level string, service string, message string")
+    for mode in live.LADDER:
+        told = []
+        ladder = live.Ladder(1000, dwell=10**6)
+        ladder.step = live.LADDER.index(mode)
+        runner = live.Live(told.extend, ladder=ladder)
+        runner.batch(df, 0)
+        assert {r["idx"] for r in told} == {7, 57, 107, 157} and len(told) == 4 and runner.load.mode == mode
+    stored = []
+    shedding = live.Live(lambda rows: None, limit=20, policy="drop_oldest", store=lambda lines, epoch: stored.append(lines.count()))
+    shedding.batch(df, 0)
+    assert stored == [4] and shedding.load.dropped == 180 and shedding.load.left_out == {"INFO": 180}
+    assert shedding.load.to_dict()["lines_parsed"] == 20
+    assert load.total([shedding.load])["total_dropped"] == 180
+
+
+def test_watch(spark, tmp_path):
+    told = []
+    said = [f"2024-01-01 00:00:{i % 60:02d} INFO [web] request {i} served" for i in range(300)] + ["2024-01-01 00:05:00 CRITICAL [web] disk failure"]
+    runner = watch.watch(spark, emit=told.extend, lines=said, ladder=False)
+    assert runner.lines == 301 and any("disk failure" in r["message"] for r in told)
+    assert watch.watch(spark, "printf ''", emit=told.extend).lines == 0
+    with pytest.raises(RuntimeError):
+        watch.watch(spark, "exit 3", emit=told.extend)
+
+
+def test_causes(spark):
+    df = spark.createDataFrame([("Connection refused by db", "web"), ("all is well", None), (None, "web")], "m string, s string")
+    got = [r[0] for r in df.select(traces.cause(F.col("m"), F.col("s"))).collect()]
+    assert got[0].startswith("web can't reach") and got[1] == "No known cause; look at This program" and got[2] == "No known cause; look at web"

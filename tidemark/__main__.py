@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 
 from tidemark.session import session
@@ -36,7 +37,13 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "scan":
         api.analyse(spark, first, mode="turbo", sensitivity=a.sensitivity, fmt=a.format).show(a.limit, False)
         return 0
-    found = api.analyse(spark, f"cmd:{' '.join(a.sources)}" if a.command == "watch" else first, mode=a.mode, sensitivity=a.sensitivity, fmt=a.format)
+    if a.command == "watch":
+        from tidemark.streaming.watch import watch
+
+        said = watch(spark, " ".join(a.sources), lambda rows: [print(f"{r['score']:.2f} {r['level']} {r['service']}: {r['message']}", flush=True) for r in rows], a.format)
+        print(json.dumps(said.summary() | {"load": said.load.to_dict()}))
+        return 2 if a.fail_on and said.hits else 0
+    found = api.analyse(spark, first, mode=a.mode, sensitivity=a.sensitivity, fmt=a.format)
     if a.html:
         with open(a.html, "w", encoding="utf-8") as f:
             f.write(found.to_html())

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors see; only a local master may do without spark.checkpoint.dir."""
+    context = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and context.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return at or "file:///tmp/tidemark-shared"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in spark.checkpoint.dir; only a local master may do without it. Rows are fixed from here on."""
+    """Checkpoint in the shared folder. Rows are fixed from here on."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not at and context.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(at or "file:///tmp/tidemark-shared")
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

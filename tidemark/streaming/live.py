@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,9 +13,13 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from tidemark.functions import formats, severity
+from tidemark.functions.masks import shape, template
+from tidemark.plans import fast, turbo
 from tidemark.plans.detect import Config, detect
+from tidemark.streaming.load import Load
 
 WINDOW, LEAST = 500, 10
+CHUNK, SAMPLE = 1000, 10
 QUIET = r"(?i)error|fail|timeout|refused|crash|panic|oom|kill|denied|exception|fatal|abort|unreachable"
 PROTECTED_RANK = 3
 LADDER = ("full", "no_clusters", "counts_only", "sampling")
@@ -123,35 +129,76 @@ class Ladder:
         return self.mode
 
 
+def by_counts(lines: DataFrame, sensitivity: str = "normal") -> DataFrame:
+    """Lines whose template the count-based scan flags, with its score; they need no detector."""
+    found = turbo.scan(lines, sensitivity).filter("flagged").select("level", "template", "score")
+    return lines.withColumn("template", template(shape(F.coalesce("message", F.lit(""))))).join(found, ["level", "template"]).withColumn("flagged", F.lit(True))
+
+
 class Live:
     """Scores a stream: severe lines at once, and the last lines again with each micro-batch. Each line is told once.
 
-    The tail is kept on the driver and is bounded by the window; idx must grow with arrival.
+    The tail is kept on the driver and is bounded by the window; idx must grow with arrival. Severe lines reach emit in
+    chunks, or stay on the executors if store is given, a function of (severe lines, epoch) that writes them. Micro-batches
+    above the limit are shed by the policy. With a ladder the tail is scored with clusters (full), without (no_clusters),
+    by counts of templates (counts_only), or by counts of one quiet line in ten (sampling); without one, without clusters.
     """
 
-    def __init__(self, emit: Callable[[list], None], window: int = WINDOW, config: Config = Config(), ladder: Ladder | None = None):
+    def __init__(
+        self, emit: Callable[[list], None], window: int = WINDOW, config: Config = Config(), ladder: Ladder | None = None, limit: int | None = None, policy: str = "block",
+        store: Callable[[DataFrame, int], None] | None = None, source: str = "",
+    ):
         self.emit, self.window, self.config, self.ladder = emit, window, config, ladder
+        self.limit, self.policy, self.store, self.load = limit, policy, store, Load(source)
         self.tail: list[tuple] = []
         self.told: set[int] = set()
         self.lines = self.severe = self.hits = 0
 
     def batch(self, df: DataFrame, epoch: int) -> None:
-        spark = df.sparkSession
+        began = time.monotonic()
         slim = df.select("idx", F.col("ts").cast("timestamp").alias("ts"), "level", "service", "message")
-        now = slim.agg(F.count("*"), F.count_if(severity.rank(F.col("level")) <= 3)).first()
-        self.lines, self.severe = self.lines + now[0], self.severe + now[1]
-        if self.ladder:
-            self.ladder.observe(now[0])
-        urgent = [r for r in severe(slim).orderBy("idx").toLocalIterator() if r["idx"] not in self.told]
-        self._tell(urgent)
+        offered, worst, newest_ts = slim.agg(F.count("*"), F.count_if(severity.rank(F.col("level")) <= 3), F.max(F.unix_timestamp("ts"))).first()
+        self.lines, self.severe = self.lines + offered, self.severe + worst
+        mode = self.ladder.observe(offered) if self.ladder else "no_clusters"
+        left_out: dict[str, int] = {}
+        if self.limit is not None and offered > self.limit:
+            slim, rest = shed(slim, self.limit, self.policy)
+            left_out = {r["level"]: r["count"] for r in rest.groupBy(F.coalesce(F.upper("level"), F.lit("")).alias("level")).count().toLocalIterator()}
+        if mode == "sampling":
+            quiet = severity.rank(F.col("level")) > PROTECTED_RANK
+            slim = slim.filter(~quiet | (F.pmod(F.xxhash64("idx"), F.lit(SAMPLE)) == 0))
         newest = slim.orderBy(F.desc("idx")).limit(self.window).collect()
         self.tail = [*self.tail, *sorted(map(tuple, newest))][-self.window :]
-        self.told &= {r[0] for r in self.tail}
-        if len(self.tail) < LEAST or self.ladder and self.ladder.mode == "sampling":
+        kept = {r[0] for r in self.tail}
+        self._urgent(severe(slim), epoch, kept)
+        if len(self.tail) >= LEAST:
+            self._rescore(df.sparkSession, mode)
+        self.told &= kept
+        lag = None if newest_ts is None else time.time() - newest_ts
+        self.load.took(offered, left_out, began, mode if self.ladder else "full", lag)
+
+    def _urgent(self, lines: DataFrame, epoch: int, kept: set[int]) -> None:
+        """Ids are remembered for the tail alone: other lines don't come again."""
+        if self.store:
+            self.store(lines, epoch)
+            rows = [r for r in self.tail if severity.RANK.get((r[2] or "").upper(), severity.UNKNOWN_RANK) <= 2]
+            self.told |= {r[0] for r in rows}
+            self.hits += lines.count()
             return
-        kept = spark.createDataFrame([(i, *r) for i, r in enumerate(self.tail)], "idx long, own long, ts timestamp, level string, service string, message string")
-        found = detect(kept, len(self.tail), self.config).filter("flagged").filter((severity.rank(F.col("level")) < 5) | F.col("message").rlike(QUIET))
-        rows = found.select(F.col("own").alias("idx"), "ts", "level", "service", "message", "score").collect()
+        rows = lines.orderBy("idx").toLocalIterator()
+        while chunk := list(islice(rows, CHUNK)):
+            self._tell([r for r in chunk if r["idx"] not in self.told])
+            self.told &= kept
+
+    def _rescore(self, spark, mode: str) -> None:
+        tail = spark.createDataFrame([(i, *r) for i, r in enumerate(self.tail)], "idx long, own long, ts timestamp, level string, service string, message string")
+        n = len(self.tail)
+        if mode in ("counts_only", "sampling"):
+            scored = by_counts(tail, self.config.sensitivity)
+        else:
+            scored = fast.detect_clustered(tail, n, self.config, keep=False) if mode == "full" else detect(tail, n, self.config, keep=False)
+        loud = scored.filter("flagged").filter((severity.rank(F.col("level")) < 5) | F.col("message").rlike(QUIET))
+        rows = loud.select(F.col("own").alias("idx"), "ts", "level", "service", "message", "score").collect()
         self._tell([r for r in rows if r["idx"] not in self.told])
 
     def _tell(self, rows: list) -> None:
