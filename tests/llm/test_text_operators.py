@@ -559,3 +559,16 @@ def test_chat(spark):
         assert len(back) == 1 and back[0].text == "q<" + "".join("<|image|>" if t == "I" else t for t in texts), texts
         row = chat.report(done).first()
         assert row.n_attachments == texts.count("I") and row.expanded_tokens == 3 * texts.count("I")
+
+
+def test_pairs_stay_apart_as_plain_merging_says():
+    """Taking back merges answers for every pair as merging the pair's letters does."""
+    import random
+
+    codec = sentencepieces.Codec.load(sentencepieces.MODEL)
+    pick, known = random.Random(5), sorted(codec.ids)
+    short = [p for p in known if len(p) < 4 and not p.startswith(sentencepieces.MARK)]
+    pairs = [(pick.choice(known), pick.choice(short)) for _ in range(10000)] + [(pick.choice(short), pick.choice(short)) for _ in range(10000)]
+    pairs += [("a" * i, "a" * j) for i in range(1, 5) for j in range(1, 5) if {"a" * i, "a" * j} <= codec.ids.keys()]
+    pairs = [(a, b) for a, b in pairs if not a.startswith(sentencepieces.MARK * 2)]  # runs of spaces are merged plainly
+    assert [p for p in pairs if codec.apart(*p) != (codec.merged(p[0] + p[1]) == list(p))] == []

@@ -42,7 +42,9 @@ class Codec:
         self.scores = {t: scores[i] for t, i in self.ids.items()}
         self.longest = max(map(len, self.ids), default=1)
         self.worst = min(self.scores.values(), default=0.0) - 10
-        self.tails = {t[i:] for t in self.ids for i in range(len(t))}
+        self.heads = {t[:i] for t in self.ids for i in range(1, len(t) + 1)} if bpe else set()
+        self.steps: dict[str, tuple[str, list[tuple[str, int]]]] = {}
+        self.halves: dict[str, tuple[str, str] | None] = {}
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.held = 0  # letters and bytes in words
@@ -105,17 +107,57 @@ class Codec:
             offer(before[i])
         return [p for p in parts if p]
 
-    def apart(self, a: str, b: str) -> bool:
-        """Whether pieces a and b stay as they are side by side."""
+    def split(self, piece: str) -> tuple[str, str] | None:
+        """The two parts that a piece of the model is merged from at last; None for a single letter."""
+        if piece not in self.halves:
+            found = [(piece[:i], piece[i:]) for i in range(1, len(piece)) if piece[:i] in self.ids and piece[i:] in self.ids]
+            self.halves[piece] = next((h for h in found if len(found) == 1 or self.apart(*h, self.scores[piece])), None)
+        return self.halves[piece]
+
+    def apart(self, a: str, b: str, over: float = np.inf) -> bool:
+        """Whether pieces a and b stay as they are side by side, or were so before merges of the score over.
+
+        Their last merges are taken back, the later one first; the parts that meet then must not have been merged before.
+        """
+        scores, limit, strict = self.scores, -np.inf, False
+        if over != np.inf:
+            limit, strict = over, True
+        while True:
+            both = scores.get(a + b)
+            if both is not None and (both > limit or both == limit and not strict):
+                return False
+            x, y = self.split(a) if len(a) > 1 else None, self.split(b) if len(b) > 1 else None
+            if x is None and y is None:
+                return True
+            # of merges with equal rank the left one comes first, so the right one is taken back first
+            if y is None or x is not None and scores[a] < scores[b]:
+                limit, strict, a = scores[a], True, x[1]
+            else:
+                limit, strict, b = scores[b], False, y[0]
+
+    def step(self, state: str, letter: str) -> tuple[str, list[tuple[str, int]]]:
+        """The longest end of state and letter that some piece begins with, and the pieces that end there, the longest first."""
+        if len(self.steps) >= PAIRS:
+            self.steps.clear()
+        at = state + letter
+        while at and at not in self.heads:
+            at = at[1:]
+        fit = [(at[i:], len(at) - i) for i in range(len(at)) if at[i:] in self.ids]
+        if not fit or fit[-1][1] > 1:
+            fit.append((letter, 1))
+        known = self.steps[state + letter] = at, fit
+        return known
+
+    def test_pair(self, a: str, b: str) -> bool:
         if len(self.pairs) >= PAIRS:
             self.pairs.clear()
-        known = self.pairs[a, b] = self.merged(a + b) == [a, b]
+        known = self.pairs[a, b] = self.apart(a, b)
         return known
 
     def encode_words(self, words: list[str]) -> list[list[str]]:
         """Pieces of each of the sorted, distinct words."""
-        out, before, last, score = [], "", [""], [0.0]
-        ids, longest, bpe, tails, pairs = self.ids, self.longest, self.bpe, self.tails, self.pairs
+        out, before, last, score, states = [], "", [""], [0.0], [""]
+        longest, bpe, steps, pairs = self.longest, self.bpe, self.steps, self.pairs
         for w in words:
             if bpe and w.startswith(MARK + MARK):  # runs of spaces have merges of equal rank
                 out.append(self.merged(w))
@@ -125,24 +167,18 @@ class Codec:
                 if x != y:
                     break
                 keep += 1
-            del last[keep + 1 :], score[keep + 1 :]
+            del last[keep + 1 :], score[keep + 1 :], states[keep + 1 :]
+            state = states[-1] if bpe else ""
             for end in range(keep + 1, len(w) + 1):
                 if bpe:
-                    begin, fit = end - 1, [w[end - 1]]
-                    while begin:
-                        begin -= 1
-                        piece = w[begin:end]
-                        if piece not in tails:
-                            break
-                        if piece in ids:
-                            fit.append(piece)
-                    for piece in reversed(fit):  # the longest first; a single letter is left over
-                        begin = end - len(piece)
-                        if not begin:
+                    state, fit = steps.get(state + w[end - 1]) or self.step(state, w[end - 1])
+                    states.append(state)
+                    for piece, size in fit:  # a single letter is left over
+                        if size == end:
                             break
-                        pair = last[begin], piece
+                        pair = last[end - size], piece
                         known = pairs.get(pair)
-                        if known or known is None and self.apart(*pair):
+                        if known or known is None and self.test_pair(*pair):
                             break
                     last.append(piece)
                 else:
