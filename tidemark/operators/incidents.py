@@ -18,19 +18,31 @@ def _rank(table: dict, column: Column) -> Column:
     return out.otherwise(0)
 
 
-def group(found: DataFrame, gap: float = 300.0, source: str = "source") -> DataFrame:
+def group(found: DataFrame, gap: float = 300.0, source: str = "source", seconds_per_slice: int = 86400) -> DataFrame:
     """Severe families that begin within a gap of the end, so far, of those before them; those without a time are one.
 
     found has source, template_id, level, service, count, first_ts, last_ts, origin. Returns (source, incident_id,
-    family_ids, root_cause_id, services, first_ts, last_ts, span_seconds, events, level). A source is put in order as one:
-    its rows are families, not lines.
+    family_ids, root_cause_id, services, first_ts, last_ts, span_seconds, events, level). Families are put in order
+    within slices of time; what goes from slice to slice is the latest end and the family that opened the last incident.
     """
     f = found.filter(F.upper("level").isin(*SEVERE)).withColumn("level", F.upper("level")).withColumn("end", F.coalesce("last_ts", "first_ts"))
-    order = Window.partitionBy(source, F.col("first_ts").isNull()).orderBy("first_ts", "template_id")
-    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     seconds = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6
-    new = F.when(F.col("first_ts").isNull(), 0).when(before.isNull() | (seconds(F.col("first_ts")) - seconds(before) > gap), 1).otherwise(0)
-    marked = f.withColumn("new", new).withColumn("island", F.when(F.col("first_ts").isNull(), -1).otherwise(F.sum("new").over(order)))
+    f = f.withColumn("slice", F.floor(seconds(F.col("first_ts")) / seconds_per_slice))
+    inside = Window.partitionBy(source, "slice").orderBy("first_ts", "template_id")
+    earlier = Window.partitionBy(source).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+
+    def carried(rows: DataFrame, value: str, name: str) -> DataFrame:
+        """rows, and the greatest value in all earlier slices of the source."""
+        by_slice = rows.filter("slice is not null").groupBy(source, "slice").agg(F.max(value).alias(name)).withColumn(name, F.max(name).over(earlier))
+        keys = by_slice.withColumnsRenamed({source: "_source", "slice": "_slice"})
+        return rows.join(keys, F.col(source).eqNullSafe(F.col("_source")) & (F.col("slice") == F.col("_slice")), "left").drop("_source", "_slice")
+
+    f = carried(f, "end", "_end")
+    before = F.greatest(F.max("end").over(inside.rowsBetween(Window.unboundedPreceding, -1)), "_end")
+    new = F.col("slice").isNotNull() & (before.isNull() | (seconds(F.col("first_ts")) - seconds(before) > gap))
+    # the family that opens an incident names it; later ones are greater
+    f = f.withColumn("opens", F.when(new, F.struct("first_ts", "template_id")))
+    marked = carried(f, "opens", "_opens").withColumn("island", F.greatest(F.max("opens").over(inside.rowsBetween(Window.unboundedPreceding, 0)), "_opens"))
     cause = F.struct((-_rank(ORIGIN_RANK, F.coalesce("origin", F.lit("unknown")))).alias("o"), F.coalesce(seconds(F.col("first_ts")), F.lit(0.0)).alias("f"), (-_rank(LEVEL_RANK, F.col("level"))).alias("l"), F.col("template_id").alias("t"))
     # services in the order in which they first appear
     first = F.sort_array(F.collect_list(F.when(F.coalesce("service", F.lit("")) != "", F.struct(F.coalesce(seconds(F.col("first_ts")), F.lit(0.0)).alias("f"), F.col("template_id").alias("t"), F.col("service").alias("s")))))

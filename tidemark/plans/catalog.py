@@ -417,7 +417,7 @@ def assess_events(spark, sf_dir):
     return families.assess(families.families(lines), lines.count())
 
 
-_FAMILIES = f"SELECT 'orders' AS source, CAST(idx AS VARCHAR) AS template_id, level, service, CAST(1 AS BIGINT) AS count, ts + INTERVAL (idx % 86400) SECOND AS first_ts, ts + INTERVAL (idx % 86400 + idx % 7200) SECOND AS last_ts, 'unknown' AS origin FROM ({ORDERS}) WHERE idx % 20 = 0"
+_FAMILIES = f"SELECT 'orders' AS source, CAST(idx AS VARCHAR) AS template_id, level, service, CAST(1 AS BIGINT) AS count, ts + INTERVAL (idx % 86400) SECOND AS first_ts, ts + INTERVAL (idx % 86400 + idx % 7200) SECOND AS last_ts, 'unknown' AS origin FROM ({ORDERS})"
 
 
 @query(f"""WITH f AS (SELECT * FROM ({_FAMILIES}) WHERE level IN ('CRITICAL', 'FATAL', 'ERROR')), m AS (SELECT *, max(last_ts) OVER (ORDER BY first_ts, template_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM f),
@@ -427,8 +427,8 @@ _FAMILIES = f"SELECT 'orders' AS source, CAST(idx AS VARCHAR) AS template_id, le
     CAST(floor(epoch(max(last_ts)) - epoch(min(first_ts))) AS BIGINT) AS span_seconds, count(*) AS events, CASE WHEN bool_or(level = 'CRITICAL') THEN 'CRITICAL' ELSE 'ERROR' END AS level FROM c GROUP BY island""")
 def incidents_orders(spark, sf_dir):
     i = F.col("idx")
-    # the query's own input: every twentieth order stands for a family
-    f = _orders(spark, sf_dir).filter(i % 20 == 0).select(F.lit("orders").alias("source"), i.cast("string").alias("template_id"), "level", "service", F.lit(1).cast("long").alias("count"), (F.col("ts") + F.make_dt_interval(secs=(i % 86400).cast("decimal(18,6)"))).alias("first_ts"), (F.col("ts") + F.make_dt_interval(secs=(i % 86400 + i % 7200).cast("decimal(18,6)"))).alias("last_ts"), F.lit("unknown").alias("origin"))
+    # the query's own input: each order stands for a family
+    f = _orders(spark, sf_dir).select(F.lit("orders").alias("source"), i.cast("string").alias("template_id"), "level", "service", F.lit(1).cast("long").alias("count"), (F.col("ts") + F.make_dt_interval(secs=(i % 86400).cast("decimal(18,6)"))).alias("first_ts"), (F.col("ts") + F.make_dt_interval(secs=(i % 86400 + i % 7200).cast("decimal(18,6)"))).alias("last_ts"), F.lit("unknown").alias("origin"))
     return incidents.group(f).withColumn("family_ids", F.array_join("family_ids", ",")).drop("services")
 
 
