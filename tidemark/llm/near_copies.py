@@ -1,18 +1,20 @@
 """Near copies by what they share: sets of five words in a row, of which two texts have four fifths in common.
 
 Texts of the same words are one node. Nodes that agree in a band of minimum hashes share a bucket; each is compared
-with the lead of its bucket, and after that with all nodes there that are in another component by then. Comparisons
-are exact, on the whole sets, so a wrong bucket costs time only.
+with two leads of its bucket. Where a bucket has several components after that, its nodes are compared with those of
+other components with which they share one of their rarest shingles, which every pair of that similarity does.
+Comparisons are exact, on the whole sets, so a wrong bucket costs time only.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bound_batches, bounded, cut, pieces, runs, text_of, utf8
@@ -126,6 +128,40 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _rare_in_common(held: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes of different components that may have the similarity; no pair that has it is lost.
+
+    In one order of all shingles, what two sets have in common can't be more than what is left of either from their
+    first common shingle on. The order is by how many nodes have a shingle: what many texts share comes last, and pairs
+    them only if it is long enough to make them alike.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, component, held in zip(batch.column(0), batch.column(1), batch.column(2)):
+                hashes = np.frombuffer(held.as_py(), np.int64)
+                same = [pa.array(np.full(len(hashes), x, kind)) for x, kind in ((node.as_py(), np.int64), (component.as_py(), np.int64), (len(hashes), np.int32))]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(hashes)], ["node", "component", "size", "shingle"])
+
+    each = cut(held.select("node", "component", "held").mapInArrow(run, "node long, component long, size int, shingle long"))
+    # a shingle of one component only can't link two, but counts in the order
+    often = each.groupBy("shingle").agg(F.count("*").alias("n"), (F.min("component") < F.max("component")).alias("between"))
+    order = Window.partitionBy("node").orderBy("n", "shingle")
+    placed = each.join(cut(often), "shingle").withColumn("left", F.col("size") - F.row_number().over(order) + 1)
+    # sizes fall into classes; what must be in common, at least, depends on both sizes, and so does how far to look
+    share, width = similarity / (1 + similarity), math.log(1.03)
+    kind = lambda size: F.floor(F.log(size) / width).cast("int")
+    size = F.col("size")
+    partners = F.sequence(kind(F.ceil(size * similarity - 1e-6)), kind(F.floor(size / similarity + 1e-6)))
+    first = placed.filter((F.col("left") >= size * similarity - 1e-6) & F.col("between")).select("shingle", "node", "component", "size", "left", kind(size).alias("own"), F.explode(partners).alias("partner"))
+    first = cut(first.filter(F.col("left") >= share * (size + F.exp(F.col("partner") * width)) - 1e-3))
+    one = first.filter("own <= partner").withColumnsRenamed({"node": "a", "component": "here", "size": "m", "left": "p"})
+    two = first.filter("own >= partner").select("shingle", F.col("partner").alias("own"), F.col("own").alias("partner"), F.col("node").alias("b"), F.col("component").alias("there"), F.col("size").alias("n"), F.col("left").alias("q"))
+    needed = share * (F.col("m") + F.col("n")) - 1e-3
+    both = one.join(two, ["shingle", "own", "partner"]).filter("here <> there AND (own < partner OR a < b)").filter((F.least("p", "q") >= needed) & (F.least("m", "n") >= similarity * F.greatest("m", "n") - 1e-6))
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def digest(text: str = "text"):
     """What tells texts apart."""
     return F.unhex(F.md5(text_of(text)))
@@ -147,13 +183,19 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, similarity: float) -> tupl
             yield pa.RecordBatch.from_arrays([pa.array(band), pa.array(keys), pa.array(node)], ["band", "key", "node"])
 
     every = distinct.select("node", "keys").mapInArrow(explode, "band int, key long, node long")
-    # another order in each band, so that nodes meet several leads
-    mixed = F.xxhash64("node", "band")
-    lead = every.groupBy("band", "key").agg(F.count("*").alias("n"), F.min(F.struct(mixed.alias("o"), "node")).alias("lead")).filter("n > 1")
+    crowd = every.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
     # what a join meets is written first wherever a key may be hot: aggregated sides can't be split
-    shared = cut(every.join(cut(lead.select("band", "key", F.col("lead.node").alias("lead"))), ["band", "key"]))
+    shared = cut(every.join(cut(crowd), ["band", "key"]))
+    # whoever shares its buckets with most nodes is likely what the others were made from
+    central = cut(shared.groupBy("node").agg(F.sum("n").alias("met")))
+    leads = shared.join(central, "node").groupBy("band", "key").agg(
+        F.max(F.struct("met", "node")).alias("middle"),
+        # another order in each band, so that nodes meet several leads
+        F.min(F.struct(F.xxhash64("node", "band").alias("o"), "node")).alias("other"),
+    )
+    leads = cut(leads.select("band", "key", F.array_distinct(F.array("middle.node", "other.node")).alias("leads")))
     ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    stars = shared.filter("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).select(*ordered).distinct()
+    stars = shared.join(leads, ["band", "key"]).select(F.col("node").alias("a"), F.explode("leads").alias("b")).filter("a <> b").select(*ordered).distinct()
 
     sets = cut(_sets(source, rows.join(shared.select("node").distinct(), "node", "left_semi").select("digest", "node")))
 
@@ -161,10 +203,8 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, similarity: float) -> tupl
     found = connected_components(links)
     placed = cut(shared.join(found, "node", "left").select("band", "key", "node", F.coalesce("component", "node").alias("component")))
     torn = placed.groupBy("band", "key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("band", "key")
-    left = cut(placed.join(torn, ["band", "key"], "left_semi"))
-    other = left.select("band", "key", F.col("node").alias("b"), F.col("component").alias("beyond"))
-    across = left.withColumnRenamed("node", "a").join(other, ["band", "key"]).filter("a < b AND component <> beyond").select("a", "b").distinct()
-    more = across.join(stars, ["a", "b"], "left_anti")
+    left = cut(placed.join(cut(torn), ["band", "key"], "left_semi").select("node", "component").distinct())
+    more = _rare_in_common(sets.join(left, "node"), similarity)
     found = connected_components(links.unionByName(_alike(more, sets, similarity)))
 
     grouped = cut(distinct.join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component")))
