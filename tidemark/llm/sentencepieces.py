@@ -28,8 +28,8 @@ from .common import bound_batches, map_arrow, pieces, quoted, utf8
 MODEL = os.environ.get("TIDEMARK_SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
 LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
-CACHE = 24 << 20  # letters of words and bytes of ids that each of two generations of a worker's memory holds
-PAIRS = 1 << 20  # tested pairs that it remembers
+CACHE = 8 << 20  # letters of words and bytes of ids that each of two generations of a worker's memory holds
+PAIRS = 1 << 18  # tested pairs that it remembers, and steps
 
 
 class Codec:
@@ -266,7 +266,7 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text") -> DataFrame
         for batch in batches:
             column = batch.column(place).fill_null("")
             _, offsets = utf8(column)
-            for a, b in pieces(offsets, 1 << 20):
+            for a, b in pieces(offsets, 1 << 19):
                 packed = codec.encode_packed(column.slice(a, b - a).to_pylist())
                 size = np.concatenate(([0], np.cumsum([len(x) // 4 for x in packed])))
                 ids = pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32)))
