@@ -572,3 +572,19 @@ def test_pairs_stay_apart_as_plain_merging_says():
     pairs += [("a" * i, "a" * j) for i in range(1, 5) for j in range(1, 5) if {"a" * i, "a" * j} <= codec.ids.keys()]
     pairs = [(a, b) for a, b in pairs if not a.startswith(sentencepieces.MARK * 2)]  # runs of spaces are merged plainly
     assert [p for p in pairs if codec.apart(*p) != (codec.merged(p[0] + p[1]) == list(p))] == []
+
+
+def test_rarest_shingles_lose_no_pair(spark):
+    from tidemark.llm import near_copies
+
+    rng = np.random.default_rng(3)
+    passage, sets = np.arange(1, 41), []
+    for i in range(160):  # a passage that all share, of more or less of the whole; copies of each other among them
+        own = rng.integers(1000, 10**12, rng.integers(1, 14)) if i % 4 else np.arange(500, 500 + rng.integers(1, 9))
+        sets.append(np.unique(np.concatenate((passage[: rng.integers(30, 41)], own))))
+    rows = [(i, i % 150, bytearray(s.astype(np.int64).tobytes())) for i, s in enumerate(sets)]
+    found = {(r.a, r.b) for r in near_copies._rare_in_common(spark.createDataFrame(rows, "node long, component long, held binary"), 0.8).collect()}
+    alike = lambda x, y: len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y))
+    want = {(i, j) for i in range(160) for j in range(i + 1, 160) if i % 150 != j % 150 and alike(sets[i], sets[j])}
+    assert want and want <= found
+    assert not near_copies._rare_in_common(spark.createDataFrame([], "node long, component long, held binary"), 0.8).collect()
