@@ -75,7 +75,7 @@ def _over(docs: DataFrame, schema: str, of) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(batch.num_columns - 1))
-            for a, b in pieces(offsets, 1 << 20):
+            for a, b in pieces(offsets, 1 << 18):
                 yield pa.RecordBatch.from_arrays(of(batch.slice(a, b - a), data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), names)
 
     return docs.mapInArrow(run, schema)
