@@ -72,6 +72,24 @@ def test_near_common_against_all_pairs(spark):
     assert got == want
 
 
+def test_long_templates_are_not_copied_for_each_token(spark):
+    long = [" ".join(f"{(i * 7919 + k) * 2654435761 % 2**40:x}" for k in range(2000)) for i in range(20)]
+    rows = [(t,) for t in [*long, *[long[0] + " other"] * 20, "<num> only", *["shared tokens of a line"] * 25, "shared tokens of a row"]]  # 4 of 6 tokens in common
+    context = spark.sparkContext._jsc.sc()
+
+    def written():
+        context.listenerBus().waitUntilEmpty()
+        return context.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    before = written()
+    got = {r.template for r in detectors.floor_templates(spark.createDataFrame(rows, "template string")).collect()}
+    assert got == {*long[1:], "<num> only", "shared tokens of a row"}
+    assert written() - before < sum(len(t) for (t,) in rows)
+    counts = spark.createDataFrame([(t, 1) for t in long[:3]] + [(long[0] + " other", 20)], "template string, count long")
+    assert [r.template for r in detectors.near_common(counts, most=0).collect()] == [long[0]]
+
+
+
 def test_dense_numbers_rows_in_order(spark):
     df = spark.range(1000).select((1000 - F.col("id")).alias("k"))
     rows = signals.dense(df, ["k"]).orderBy("k").collect()

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import severity
 from tidemark.functions.text import jaccard_tokens, numeric_slots, session_key
 
+from .cut import bounded, cut
+
 
 def bins(n: int, least: int) -> int:
     return max(least, min(80, n // 10))
@@ -97,28 +99,36 @@ def cooccurring(lines: DataFrame, n: int, partners: int = 2, floor: int = 3) ->
     return good.withColumn("k", F.count("*").over(in_bin)).filter((F.col("k") >= partners) & F.lit(n >= 2 * floor)).select("bin", "template")
 
 
-def near_common(templates: DataFrame, common_min: int = 20, similarity: float = 0.8, rare_max: int = 3) -> DataFrame:
+def near_common(templates: DataFrame, common_min: int = 20, similarity: float = 0.8, rare_max: int = 3, most: int = 1 << 18) -> DataFrame:
     """(template) of rare templates whose tokens nearly are those of a common one: Jaccard of the similarity or more.
 
-    templates has (template, count). Candidates come from prefix filtering: of two sets with that similarity, the first
-    tokens in a fixed order, rarest first, must meet, and their sizes can't differ much. No pairs beyond those are made.
+    templates has (template, count) and is read several times. Candidates come from prefix filtering: of two sets with
+    that similarity, the first tokens in a fixed order, longest first, must meet, and their sizes can't differ much. No
+    pairs beyond those are made. Common templates with so many first tokens at most come to the rare ones, which then
+    stay where they are; else digests are paired, since a template would be sent once for each of its tokens.
     """
-    sets = templates.select("template", "count", jaccard_tokens(F.col("template")).alias("tokens")).withColumn("size", F.size("tokens")).filter("size > 0").filter((F.col("count") <= rare_max) | (F.col("count") >= common_min))
-    exploded = sets.select("template", "count", "size", F.explode("tokens").alias("token"))
-    frequency = exploded.groupBy("token").agg(F.count("*").alias("f"))
-    ranked = exploded.join(frequency, "token").withColumn("at", F.row_number().over(Window.partitionBy("template").orderBy("f", "token")))
-    prefix = ranked.filter(F.col("at") <= F.col("size") - F.ceil(similarity * F.col("size")) + 1)
-    rare = prefix.filter(F.col("count") <= rare_max).select("token", F.col("template").alias("a"), F.col("size").alias("na"))
-    common = prefix.filter(F.col("count") >= common_min).select("token", F.col("template").alias("b"), F.col("size").alias("nb"))
-    pairs = rare.join(common, "token").filter((F.col("nb") >= similarity * F.col("na")) & (F.col("na") >= similarity * F.col("nb"))).select("a", "b").distinct()
-    ta, tb = jaccard_tokens(F.col("a")), jaccard_tokens(F.col("b"))
-    return pairs.filter(F.size(F.array_intersect(ta, tb)) / F.size(F.array_union(ta, tb)) >= similarity).select(F.col("a").alias("template")).distinct()
+    tokens = jaccard_tokens(F.col("template"))
+    sets = templates.filter((F.col("count") <= rare_max) | (F.col("count") >= common_min)).select("template", "count", tokens.alias("tokens")).withColumn("size", F.size("tokens")).filter("size > 0")
+    rare, common = sets.filter(F.col("count") <= rare_max), sets.filter(F.col("count") >= common_min)
+    ordered = F.transform(F.array_sort(F.transform("tokens", lambda t: F.struct((-F.length(t)).alias("o"), t.alias("t")))), lambda x: x["t"])
+    first = F.explode(F.slice(ordered, F.lit(1), (F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1).cast("int"))).alias("token")
+    id_ = F.unhex(F.md5("template"))
+    common = cut(common.select(id_.alias("b"), F.col("tokens").alias("tb"), F.col("size").alias("nb"), first))
+    right, whole = common.select("b", "nb", "token"), common.select("b", "tb").dropDuplicates(["b"])
+    sized = (F.col("nb") >= similarity * F.col("na")) & (F.col("na") >= similarity * F.col("nb"))
+    if common.limit(most + 1).count() <= most:
+        both = rare.select("template", F.col("tokens").alias("ta"), F.col("size").alias("na"), first).join(F.broadcast(right), "token").filter(sized).join(F.broadcast(whole), "b")
+    else:
+        pairs = cut(rare.select(id_.alias("a"), F.col("size").alias("na"), first).join(right, "token").filter(sized).select("a", "b").distinct())
+        both = rare.select(id_.alias("a"), "template").join(pairs.join(whole, "b"), "a").withColumn("ta", tokens)
+    return both.filter(F.size(F.array_intersect("ta", "tb")) / F.size(F.array_union("ta", "tb")) >= similarity).select("template").distinct()
 
 
 def floor_templates(lines: DataFrame, rare_max: int = 3, common_min: int = 20, similarity: float = 0.8) -> DataFrame:
     """(template) of rare templates that are no near duplicate of a common one; lines are counted across levels."""
-    counts = lines.groupBy("template").agg(F.count("*").alias("count"))
-    return counts.filter(f"count <= {rare_max}").join(near_common(counts, common_min, similarity, rare_max), "template", "left_anti").select("template")
+    counts = cut(lines.groupBy("template").agg(F.count("*").alias("count")))
+    near = cut(near_common(counts, common_min, similarity, rare_max))
+    return counts.filter(f"count <= {rare_max}").join(bounded(near), "template", "left_anti").select("template")
 
 
 def otsu(scores: DataFrame, column: str = "score", low: float = 0.35, high: float = 0.95, count: int = 64) -> DataFrame:
