@@ -588,3 +588,40 @@ def test_rarest_shingles_lose_no_pair(spark):
     want = {(i, j) for i in range(160) for j in range(i + 1, 160) if i % 150 != j % 150 and alike(sets[i], sets[j])}
     assert want and want <= found
     assert not near_copies._rare_in_common(spark.createDataFrame([], "node long, component long, held binary"), 0.8).collect()
+
+
+def test_near_copies_share_fingerprints_within_the_radius(spark):
+    from tidemark.llm import near_copies
+
+    rng = np.random.default_rng(5)
+    sets, n = [], 200
+    for i in range(n):  # pairs whose similarity is 0.8, or a little more
+        size = int(rng.integers(9, 400))
+        both = rng.integers(1, 2**62, size)
+        sets += [np.concatenate((both, rng.integers(1, 2**62, size // 8))), np.concatenate((both, rng.integers(1, 2**62, size // 8), both[:3]))]
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    at, sizes, found = near_copies.prints(np.concatenate(sets).astype(np.uint64), row, chunk=510)
+    assert at.tolist() == list(range(2 * n)) and sizes.tolist() == [len(set(x.tolist())) for x in sets]
+    for i in range(0, 2 * n, 37):
+        h = near_copies.mix(np.array(sorted(set(sets[i].tolist())), np.uint64) * near_copies._TIMES[1] + near_copies._PLUS[1])
+        assert int(found[i, 1]) == sum(int(((h >> np.uint64(b)) & np.uint64(1)).sum() * 2 > len(h)) << b for b in range(64))
+    rows = [(i, int(sizes[i]), bytearray(found[i].tobytes())) for i in range(2 * n)] + [(9999, 0, bytearray())]
+    for shard in (1 << 14, 16):
+        got = near_copies._near_prints(spark.createDataFrame(rows, "node long, size int, prints binary"), 0.8, shard).collect()
+        held = {}
+        for r in got:
+            held.setdefault((r.band, r.key), set()).add(r.node)
+        assert all(len(held[r.band, r.key]) == r.n > 1 for r in got)
+        assert sum(any({2 * i, 2 * i + 1} <= x for x in held.values()) for i in range(n)) >= 0.99 * n
+        assert sum(map(len, held.values())) < 40 * n  # others are seldom near
+    assert near_copies._near_prints(spark.createDataFrame([], "node long, size int, prints binary"), 0.8).count() == 0
+
+
+def test_components_in_one_task(spark):
+    from tidemark.llm.components import connected_components
+
+    rng = np.random.default_rng(6)
+    edges = [(int(a), int(b)) for a, b in rng.integers(-50, 400, (300, 2))] + [(None, 3), (5, 5), (2, None)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    assert sorted(connected_components(df, at_once=1000).collect()) == sorted(connected_components(df).collect())
+    assert connected_components(df.limit(0), at_once=1000).count() == 0

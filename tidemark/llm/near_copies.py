@@ -1,9 +1,11 @@
 """Near copies by what they share: sets of five words in a row, of which two texts have four fifths in common.
 
-Texts of the same words are one node. Nodes that agree in a band of minimum hashes share a bucket; each is compared
-with two leads of its bucket. Where a bucket has several components after that, its nodes are compared with those of
-other components with which they share one of their rarest shingles, which every pair of that similarity does.
-Comparisons are exact, on the whole sets, so a wrong bucket costs time only.
+Texts of the same words are one node. A node has several SimHash fingerprints of its set. Nodes are dealt out by the
+size of their sets, since sizes of near copies differ by a fifth at most, and by vantage-point trees over each
+fingerprint; nodes of a shard that fingerprints within the radius lead to share a bucket. Each is compared with two
+leads of its bucket. Where a bucket has several components after that, its nodes are compared with those of other
+components with which they share one of their rarest shingles, which every pair of that similarity does. Comparisons
+are exact, on the whole sets, so a wrong bucket costs time only.
 """
 
 from __future__ import annotations
@@ -13,23 +15,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bound_batches, bounded, cut, pieces, runs, text_of, utf8
 from .components import connected_components
+from .simhash import SAMPLE, SHARD, TopTree, shard_links
 from .wordhash import mix, slice_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 20, 5  # two nodes of similarity 0.8 share a bucket with a chance of 0.9996
+TABLES = 8  # fingerprints of a node
+RADIUS = 12  # of 64 bits; at similarity 0.8 about 10 differ, and one fingerprint finds 0.83 of the pairs
+MARGIN = 3  # how near to a boundary of the trees a fingerprint visits the other side
+AT_ONCE = 1 << 18
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _rng = np.random.default_rng(58)
-_TIMES = _rng.integers(0, 1 << 63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
-_PLUS = _rng.integers(0, 1 << 63, (BANDS, ROWS), np.uint64)
-_WEIGHT = _rng.integers(0, 1 << 63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+_TIMES = _rng.integers(0, 1 << 63, TABLES, np.uint64) * np.uint64(2) + np.uint64(1)
+_PLUS = _rng.integers(0, 1 << 63, TABLES, np.uint64)
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,14 +61,28 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tupl
     return slice_hashes(flat, starts[full], ends[np.minimum(word + size - 1, last)[full]]), row[full], whole
 
 
-def buckets(hashes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The rows that have shingles, and their bucket in each band (rows x BANDS)."""
+def prints(hashes: np.ndarray, row: np.ndarray, chunk: int = 255 << 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows that have shingles, how many different ones, and their SimHash in each table (rows x TABLES)."""
+    order = np.lexsort((hashes, row))
+    hashes, row = hashes[order], row[order]
+    new = np.diff(row, prepend=-1) != 0
+    new[1:] |= hashes[1:] != hashes[:-1]
+    hashes, row = hashes[new], row[new]
     at = np.flatnonzero(np.diff(row, prepend=-1))
-    out = np.zeros((len(at), BANDS), np.uint64)
-    for band in range(BANDS if len(at) else 0):
-        for times, plus, weight in zip(_TIMES[band], _PLUS[band], _WEIGHT[band]):
-            out[:, band] += np.minimum.reduceat(hashes * times + plus, at) * weight
-    return row[at], mix(out)
+    sizes = np.diff(at, append=len(row))
+    votes = np.zeros((len(at), TABLES, 64), np.int64)
+    place = np.arange(len(row)) - np.repeat(at, sizes)
+    which = np.repeat(np.arange(len(at)), sizes)
+    for i in range(0, len(row), chunk):
+        part = slice(i, i + chunk)
+        start = place[part] % 255 == 0  # so many bits add up in a byte
+        start[0] = True
+        start = np.flatnonzero(start)
+        for table in range(TABLES):
+            bits = np.unpackbits(mix(hashes[part] * _TIMES[table] + _PLUS[table]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            np.add.at(votes[:, table], which[part][start], np.add.reduceat(bits.view(np.uint64), start, axis=0).view(np.uint8))
+    packed = np.packbits(votes * 2 > sizes[:, None, None], axis=2, bitorder="little")
+    return row[at], sizes, np.ascontiguousarray(packed).view(np.uint64).reshape(-1, TABLES)
 
 
 def _over(docs: DataFrame, schema: str, of) -> DataFrame:
@@ -82,17 +100,66 @@ def _over(docs: DataFrame, schema: str, of) -> DataFrame:
 
 
 def _nodes(source: DataFrame) -> DataFrame:
-    """(doc_id, digest, node, keys): keys are the buckets, as bytes; none for a text without words."""
+    """(doc_id, digest, node, size, prints): prints are the fingerprints, as bytes; none for a text without words."""
 
     def of(rows, data, offsets):
         hashes, row, whole = shingles(data, offsets)
-        at, keys = buckets(hashes, row)
-        held = [b""] * rows.num_rows
-        for r, k in zip(at.tolist(), keys):
+        at, sizes, found = prints(hashes, row)
+        held, size = [b""] * rows.num_rows, np.zeros(rows.num_rows, np.int32)
+        size[at] = sizes
+        for r, k in zip(at.tolist(), found):
             held[r] = k.tobytes()
-        return [rows.column(0), rows.column(1), pa.array(whole.view(np.int64)), pa.array(held, pa.binary())]
+        return [rows.column(0), rows.column(1), pa.array(whole.view(np.int64)), pa.array(size), pa.array(held, pa.binary())]
 
-    return _over(source, "doc_id long, digest binary, node long, keys binary", of)
+    return _over(source, "doc_id long, digest binary, node long, size int, prints binary", of)
+
+
+def _near_prints(nodes: DataFrame, similarity: float, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
+    """(band, key, node, n): buckets of n nodes that fingerprints within the radius lead to, of rows (node, size, prints).
+
+    Sets of that similarity are in the same class of sizes or in the next one, which the smaller visits as a guest.
+    """
+    width = -math.log(similarity) * (1 + 1e-9) if similarity < 1 else 1e-9
+    kinds = nodes.filter("size > 0").select("node", F.floor(F.log("size") / F.lit(width)).alias("kind"), "prints")
+    depth = {k: max(0, math.ceil(math.log2(n / shard))) for k, n in kinds.groupBy("kind").count().collect()}
+    deep = [k for k, d in depth.items() if d]
+    seen = {k: np.zeros((0, TABLES), np.uint64) for k in depth}
+    if deep:
+        some = kinds.filter(F.col("kind").isin(deep)).orderBy(F.xxhash64("node"), "node").limit(min(sample, sum(64 << depth[k] for k in deep))).select("kind", "prints").toPandas()
+        seen |= {k: np.frombuffer(b"".join(map(bytes, x)), np.uint64).reshape(-1, TABLES) for k, x in some.groupby("kind")["prints"]}
+    trees = {k: [TopTree(seen[k][:, table], d) for table in range(TABLES)] for k, d in depth.items()}
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            node, kind = (batch.column(k).to_numpy() for k in (0, 1))
+            fps = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, TABLES)
+            for table in range(TABLES):
+                to, who, home = [], [], []
+                for k in np.unique(kind).tolist():
+                    own = np.flatnonzero(kind == k)
+                    for other in (k, k + 1):
+                        if other in trees:
+                            leaf, at, at_home = trees[other][table].route(fps[own, table], MARGIN, other != k)
+                            to.append((np.int64(other * TABLES + table) << 24) + leaf)
+                            who.append(own[at])
+                            home.append(at_home)
+                who = np.concatenate(who)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(to).astype(np.int64)), pa.array(node[who]), pa.array(fps[who, table].view(np.int64)), pa.array(np.concatenate(home))], ["band", "node", "fp", "home"])
+
+    def search(table: pa.Table) -> pa.Table:
+        band, node, fp, home = (table.column(k).to_numpy() for k in range(4))
+        fps, at = np.unique(fp, return_inverse=True)
+        own = np.zeros(len(fps), bool)
+        own[at[home]] = True
+        key = shard_links(fps.view(np.uint64), own, RADIUS)[at]
+        n = np.bincount(key)[key]
+        return pa.table({"band": band[n > 1], "key": key[n > 1], "node": node[n > 1], "n": n[n > 1]})
+
+    bound_batches(nodes.sparkSession)
+    dealt = kinds.mapInArrow(deal, "band long, node long, fp long, home boolean")
+    return dealt.groupBy("band").applyInArrow(search, "band long, key long, node long, n long")
 
 
 def _sets(source: DataFrame, members: DataFrame) -> DataFrame:
@@ -172,20 +239,10 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, similarity: float) -> tupl
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), digest(text).alias("digest"), text_of(text).alias("text"))
     rows = cut(_nodes(source))
     who = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "digest")
-    distinct = cut(rows.groupBy("node").agg(F.min(who).alias("least"), F.first("keys").alias("keys")))
+    distinct = cut(rows.groupBy("node").agg(F.min(who).alias("least"), F.first("size").alias("size"), F.first("prints").alias("prints")))
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = batch.filter(pc.greater(pc.binary_length(batch.column(1)), 0))
-            keys = np.frombuffer(b"".join(held.column(1).to_pylist()), np.int64)
-            node = np.repeat(held.column(0).to_numpy(), BANDS)
-            band = np.tile(np.arange(BANDS, dtype=np.int32), held.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array(band), pa.array(keys), pa.array(node)], ["band", "key", "node"])
-
-    every = distinct.select("node", "keys").mapInArrow(explode, "band int, key long, node long")
-    crowd = every.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
     # what a join meets is written first wherever a key may be hot: aggregated sides can't be split
-    shared = cut(every.join(cut(crowd), ["band", "key"]))
+    shared = cut(_near_prints(distinct, similarity))
     # whoever shares its buckets with most nodes is likely what the others were made from
     central = cut(shared.groupBy("node").agg(F.sum("n").alias("met")))
     leads = shared.join(central, "node").groupBy("band", "key").agg(
@@ -200,12 +257,12 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, similarity: float) -> tupl
     sets = cut(_sets(source, rows.join(shared.select("node").distinct(), "node", "left_semi").select("digest", "node")))
 
     links = cut(_alike(stars, sets, similarity))
-    found = connected_components(links)
+    found = connected_components(links, at_once=AT_ONCE)
     placed = cut(shared.join(found, "node", "left").select("band", "key", "node", F.coalesce("component", "node").alias("component")))
     torn = placed.groupBy("band", "key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("band", "key")
     left = cut(placed.join(cut(torn), ["band", "key"], "left_semi").select("node", "component").distinct())
     more = _rare_in_common(sets.join(left, "node"), similarity)
-    found = connected_components(links.unionByName(_alike(more, sets, similarity)))
+    found = connected_components(links.unionByName(_alike(more, sets, similarity)), at_once=AT_ONCE)
 
     grouped = cut(distinct.join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component")))
     label = cut(grouped.groupBy("component").agg(F.min("least").alias("first")))

@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, cut, fresh, pieces, runs, text_of, utf8
 from .components import connected_components
-from .near_copies import digest, firsts
 
 SEED = 42
 SHINGLE = 3
@@ -102,9 +101,10 @@ class TopTree:
             else:
                 parts += [own, own]
 
-    def route(self, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Shard, index and whether at home, for each place that each fingerprint goes to."""
-        level = {0: (np.arange(len(fps)), np.zeros(0, np.int64))}
+    def route(self, fps: np.ndarray, radius: int, guests: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Shard, index and whether at home, for each place that each fingerprint goes to; guests are at home nowhere."""
+        every, none = np.arange(len(fps)), np.zeros(0, np.int64)
+        level = {0: (none, every) if guests else (every, none)}
         for _ in range(self.depth):
             below = {}
             for node, (home, guest) in level.items():
@@ -228,10 +228,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group of near copies, with all its columns: that with the smallest doc_id, null ids last.
 
-    Groups are those of near_copies, by exact similarity; fingerprints within few bits miss most near copies of
-    similarity 0.8. Rows are told apart by doc_id and text, so null and repeated ids are rows like others; of rows
-    equal in both one stays. Null and empty texts are one group. An empty table gives no rows.
+    Groups are those of near_copies: fingerprints of five-word shingles find candidates through vantage-point trees, the
+    exact similarity decides. Rows are told apart by doc_id and text, so null and repeated ids are rows like others; of
+    rows equal in both one stays. Null and empty texts are one group. An empty table gives no rows.
     """
+    from .near_copies import digest, firsts
+
     own, kept = (fresh(docs.columns, name) for name in ("_own", "_kept"))
     found = firsts(docs, doc_id, text).select(F.col("doc_id").alias(kept), F.col("digest").alias(own))
     both = (digest(text) == F.col(own)) & F.col(doc_id).cast("long").eqNullSafe(F.col(kept))
